@@ -142,3 +142,127 @@ SELECT crawl_id, group_key, rank_in_group::BIGINT AS rank_in_group, platform_id,
        appearances::BIGINT AS appearances, first_rank::BIGINT AS first_rank
 FROM capped""",
 }
+
+
+def local(x: str) -> str:
+    return f"(({x} AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Shanghai')"
+
+
+def esc(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "
+            f"'\"', '&quot;'), '''', '&#x27;')")
+
+
+def toks(x: str) -> str:
+    return f"list_distinct(regexp_extract_all({x}, '{TOKRE}'))"
+
+
+NREG = "(SELECT count(DISTINCT source) FROM documents WHERE source IS NOT NULL)"
+ASOF = "(SELECT TIMESTAMP '2024-01-01 00:00:00' + (max(crawl_id) - 1) * INTERVAL 12 HOUR + INTERVAL 1 HOUR FROM docs)"
+
+TOTALS = f"""
+totals AS (
+  SELECT crawl_id, crawl_ts, count(*) AS total_news, count(*) FILTER (WHERE appearances >= 3) AS hot_news,
+         strftime({local('crawl_ts')}, '%Y%m%d') AS report_day,
+         strftime({local('crawl_ts')}, '%Y年%m月%d日') AS generate_date,
+         strftime({local('crawl_ts')}, '%H时%M分') AS generate_time
+  FROM capped GROUP BY crawl_id, crawl_ts)
+"""
+
+NOVELTY_CAPPED = f"""
+ck AS (SELECT c.*, {keyof('c.title')} AS title_key FROM capped c),
+cn AS (SELECT DISTINCT title_key, crawl_id, crawl_ts FROM ck),
+cnl AS (
+  SELECT title_key, crawl_id,
+         (lg IS NULL OR epoch(crawl_ts) - epoch(lg) >= 7 * 86400) AS is_new
+  FROM (SELECT *, lag(crawl_ts) OVER (PARTITION BY title_key ORDER BY crawl_ts) AS lg FROM cn)),
+cnew AS (SELECT ck.*, cnl.is_new FROM ck JOIN cnl USING (title_key, crawl_id)),
+per AS (
+  SELECT crawl_id, crawl_ts, count(DISTINCT title) AS current_titles, count(*) FILTER (WHERE is_new) AS new_items,
+         array_to_string((list(substr(title, 1, 30) || '...' ORDER BY key_ord, rank_in_group) FILTER (WHERE is_new))[1:3], ' | ') AS samples
+  FROM cnew GROUP BY crawl_id, crawl_ts),
+hist AS (SELECT DISTINCT title, crawl_ts FROM capped),
+hn AS (
+  SELECT p.crawl_ts, count(DISTINCT h.title) AS n
+  FROM (SELECT DISTINCT crawl_ts FROM per) p JOIN hist h
+    ON h.crawl_ts > p.crawl_ts - INTERVAL 7 DAY AND h.crawl_ts < p.crawl_ts
+  GROUP BY p.crawl_ts),
+incr AS (
+  SELECT per.crawl_id, coalesce(hn.n, 0) AS history_titles, current_titles, new_items, coalesce(samples, '') AS samples
+  FROM per LEFT JOIN hn USING (crawl_ts)),
+push AS (
+  SELECT crawl_id, new_items, new_items > 0 AS push,
+         CASE WHEN new_items > 0 THEN '发现' || new_items || '条新内容' ELSE '无新内容' END AS push_reason
+  FROM incr)
+"""
+
+HK = f"""
+hk AS (SELECT DISTINCT {keyof('title')} AS title_key, crawl_id, crawl_ts FROM heads),
+hkn AS (
+  SELECT title_key, crawl_id, crawl_ts,
+         (lg IS NULL OR epoch(crawl_ts) - epoch(lg) >= 7 * 86400) AS is_new
+  FROM (SELECT *, lag(crawl_ts) OVER (PARTITION BY title_key ORDER BY crawl_ts) AS lg FROM hk))
+"""
+
+RC = with_ctes(BASE, RULES, MATCH, TOTALS, NOVELTY_CAPPED)
+HN = with_ctes(BASE, HK)
+
+SQL.update({
+    "report_totals": RC + """
+SELECT crawl_id, report_day, 'incremental' AS report_mode, total_news, hot_news, generate_date, generate_time FROM totals""",
+    "group_summary": RC + """
+SELECT crawl_id, group_key, count(*) AS item_count,
+       CASE WHEN count(*) >= 20 THEN 'hot' WHEN count(*) >= 10 THEN 'warm' ELSE '' END AS heat,
+       row_number() OVER (PARTITION BY crawl_id ORDER BY min(key_ord))::BIGINT AS group_index,
+       (SELECT count(*) FROM caps)::BIGINT AS total_groups
+FROM capped GROUP BY crawl_id, group_key""",
+    "report_view": RC + f"""
+SELECT crawl_id, group_key, rank_in_group::BIGINT AS rank_in_group, {esc('source')} AS source_html,
+       first_rank::BIGINT AS first_rank,
+       CASE WHEN first_rank <= 3 THEN 'top' WHEN first_rank <= 10 THEN 'high' ELSE '' END AS rank_badge,
+       {esc('title')} AS title_html, {esc("''")} AS url_html
+FROM capped""",
+    "report_latest_per_day": RC + """
+SELECT report_day, arg_max(crawl_id, crawl_ts) AS crawl_id, arg_max(total_news, crawl_ts) AS total_news,
+       arg_max(hot_news, crawl_ts) AS hot_news, arg_max(generate_date, crawl_ts) AS generate_date,
+       arg_max(generate_time, crawl_ts) AS generate_time
+FROM totals GROUP BY report_day""",
+    "crawl_outcome": with_ctes(BASE) + f"""
+SELECT crawl_id, count(*) FILTER (WHERE text IS NOT NULL) AS ok_platforms,
+       {NREG} - count(*) FILTER (WHERE text IS NOT NULL) AS failed_platforms,
+       count(*) FILTER (WHERE text IS NOT NULL) > 0 AS has_report
+FROM docs GROUP BY crawl_id""",
+    "title_keys": H + f"""
+SELECT title, {keyof('title')} AS title_key, length({keyof('title')})::BIGINT AS key_len,
+       len({toks(keyof('title'))})::BIGINT AS n_tokens, len({toks('lower(title)')})::BIGINT AS n_words
+FROM (SELECT DISTINCT title FROM heads)""",
+    "novelty": HN + """
+SELECT title_key, crawl_id, is_new FROM hkn""",
+    "presence_sessions": HN + """
+SELECT title_key, strftime(min(crawl_ts), '%Y-%m-%d %H:%M:%S') AS first_ts,
+       strftime(max(crawl_ts), '%Y-%m-%d %H:%M:%S') AS last_ts, count(*)::BIGINT AS sightings
+FROM (SELECT *, sum(is_new::INT) OVER (PARTITION BY title_key ORDER BY crawl_ts ROWS UNBOUNDED PRECEDING) AS sess FROM hkn)
+GROUP BY title_key, sess""",
+    "strict_dedup": RC + """
+SELECT crawl_id, title_key, title, group_key, rank_in_group::BIGINT AS rank_in_group
+FROM (SELECT *, row_number() OVER (PARTITION BY crawl_id, title_key ORDER BY key_ord, rank_in_group) AS rn
+      FROM cnew WHERE is_new) WHERE rn = 1""",
+    "history_asof": RC + f"""
+SELECT DISTINCT title, {keyof('title')} AS title_key FROM (SELECT DISTINCT crawl_id, crawl_ts, title FROM capped)
+WHERE crawl_ts > {ASOF} - INTERVAL 7 DAY AND crawl_ts <= {ASOF}
+  AND strftime({local('crawl_ts')}, '%Y%m%d') <> strftime({local(ASOF)}, '%Y%m%d')""",
+    "history_stats": RC + f"""
+SELECT count(DISTINCT crawl_ts) AS live_records, count(*) AS total_titles, count(DISTINCT title) AS distinct_titles
+FROM (SELECT DISTINCT crawl_id, crawl_ts, title FROM capped)
+WHERE crawl_ts > {ASOF} - INTERVAL 7 DAY AND crawl_ts <= {ASOF}""",
+    "increment_stats": RC + """
+SELECT crawl_id, history_titles, current_titles, new_items, samples FROM incr""",
+    "push_decision": RC + """
+SELECT crawl_id, new_items, push, push_reason FROM push""",
+    "crawl_summary": RC + f""",
+oc AS (SELECT crawl_id, count(*) FILTER (WHERE text IS NOT NULL) AS ok_platforms FROM docs GROUP BY crawl_id)
+SELECT oc.crawl_id, coalesce(t.total_news, 0) AS total_news, coalesce(t.hot_news, 0) AS hot_news,
+       oc.ok_platforms, {NREG} - oc.ok_platforms AS failed_platforms,
+       coalesce(p.push, false) AS notification_sent, coalesce(p.push_reason, '无新内容') AS push_reason
+FROM oc LEFT JOIN totals t USING (crawl_id) LEFT JOIN push p USING (crawl_id)""",
+})

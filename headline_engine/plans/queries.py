@@ -8,14 +8,15 @@ print the same values.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from headline_engine.config import DRIVER_CONFIG, EngineConfig
 from headline_engine.functions.timefmt import ts_text
-from headline_engine.operators import feed, match
+from headline_engine.functions.text import title_key, tokens
+from headline_engine.operators import feed, match, novelty as nov, report
 from headline_engine.sources import adapters as A
-from headline_engine.sources.rules import load_rules
+from headline_engine.sources.rules import group_caps, load_rules
 
 CFG = DRIVER_CONFIG
 
@@ -107,10 +108,174 @@ def q_top_headlines(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------- step 2: report facts
+
+def q_report_totals(spark, sf_dir):
+    """Per crawl report header facts."""
+    t = report.report_totals(capped(spark, sf_dir), CFG)
+    return t.select("crawl_id", "report_day", "report_mode", "total_news", "hot_news", "generate_date", "generate_time")
+
+
+def q_group_summary(spark, sf_dir):
+    """Per crawl and non-empty group key."""
+    rules, _ = rules_of(spark)
+    g = report.group_summary(capped(spark, sf_dir), group_caps(rules, CFG.default_cap))
+    return g.select(
+        "crawl_id", "group_key", "item_count", "heat",
+        F.col("group_index").cast("bigint").alias("group_index"),
+        F.col("total_groups").cast("bigint").alias("total_groups"),
+    )
+
+
+def q_report_view(spark, sf_dir):
+    """Escaped report rows with rank badge."""
+    v = report.report_view(capped(spark, sf_dir))
+    return v.select(
+        "crawl_id", "group_key", F.col("rank_in_group").cast("bigint").alias("rank_in_group"),
+        "source_html", F.col("first_rank").cast("bigint").alias("first_rank"), "rank_badge", "title_html", "url_html",
+    )
+
+
+def q_report_latest_per_day(spark, sf_dir):
+    """The report kept for each UTC+8 day (last crawl of the day)."""
+    t = report.report_totals(capped(spark, sf_dir), CFG)
+    d = report.latest_per_day(t)
+    return d.select("report_day", "crawl_id", "total_news", "hot_news", "generate_date", "generate_time")
+
+
+def q_crawl_outcome(spark, sf_dir):
+    """S3: ok / failed registry platforms per crawl."""
+    n_registry = A.documents_platforms(spark, sf_dir).count()
+    o = report.crawl_outcome(snapshots(spark, sf_dir), n_registry)
+    return o.select("crawl_id", "ok_platforms", "failed_platforms", "has_report")
+
+
+# ---------------------------------------------------------------- step 3: keys and novelty
+
+def q_title_keys(spark, sf_dir):
+    """Distinct titles with key, key length and token counts (both modes)."""
+    h = headlines(spark, sf_dir).select("title").distinct()
+    k = title_key("title")
+    return h.select(
+        "title", k.alias("title_key"), F.length(k).cast("bigint").alias("key_len"),
+        F.size(tokens("title", k, "reference")).cast("bigint").alias("n_tokens"),
+        F.size(tokens("title", None, "word")).cast("bigint").alias("n_words"),
+    )
+
+
+def q_novelty(spark, sf_dir):
+    """Is each (key, crawl) new against the rolling 7-day history of all headlines."""
+    h = headlines(spark, sf_dir).withColumn("title_key", title_key("title"))
+    n = nov.novelty(h, "title_key", "crawl_ts", CFG)
+    return n.select("title_key", "crawl_id", "is_new")
+
+
+def q_presence_sessions(spark, sf_dir):
+    """ST3: key presence islands (gap < 7 d) over all headlines."""
+    h = headlines(spark, sf_dir).withColumn("title_key", title_key("title"))
+    s = nov.presence_sessions(h, "title_key", "crawl_ts", CFG)
+    return s.select("title_key", ts_text("first_ts").alias("first_ts"), ts_text("last_ts").alias("last_ts"),
+                    F.col("sightings").cast("bigint").alias("sightings"))
+
+
+def report_items_new(spark, sf_dir, cfg: EngineConfig = CFG):
+    """Report items with the key-level novelty of their crawl (history = earlier reports)."""
+    c = capped(spark, sf_dir, cfg).withColumn("title_key", title_key("title"))
+    n = nov.novelty(c, "title_key", "crawl_ts", cfg).select("title_key", "crawl_id", "is_new")
+    return c.join(n, ["title_key", "crawl_id"])
+
+
+def q_strict_dedup(spark, sf_dir):
+    """New report items flattened (key order, rank in group), first per key."""
+    c = report_items_new(spark, sf_dir).where("is_new")
+    w = Window.partitionBy("crawl_id", "title_key").orderBy("key_ord", "rank_in_group")
+    d = c.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    return d.select("crawl_id", "title_key", "title", "group_key", F.col("rank_in_group").cast("bigint").alias("rank_in_group"))
+
+
+def _as_of(spark, sf_dir):
+    """As-of time of the history queries: one hour after the last crawl (a manual push)."""
+    last = snapshots(spark, sf_dir).agg(F.max("crawl_ts")).first()[0]
+    return F.lit(last).cast("timestamp") + F.expr("INTERVAL 1 HOUR")
+
+
+def q_history_asof(spark, sf_dir):
+    """Distinct live history titles at the as-of time, today's rows excluded."""
+    hist = nov.history_rows(capped(spark, sf_dir))
+    h = nov.history_asof(hist, _as_of(spark, sf_dir), CFG, exclude_today=True)
+    return h.select("title", "title_key").distinct()
+
+
+def q_history_stats(spark, sf_dir):
+    """Live records, total titles and distinct titles of the history at the as-of time."""
+    hist = nov.history_rows(capped(spark, sf_dir))
+    h = nov.history_asof(hist, _as_of(spark, sf_dir), CFG)
+    return h.agg(
+        F.count_distinct("crawl_ts").alias("live_records"),
+        F.count(F.lit(1)).alias("total_titles"),
+        F.count_distinct("title").alias("distinct_titles"),
+    )
+
+
+def increment_frame(spark, sf_dir, cfg: EngineConfig = CFG):
+    c = report_items_new(spark, sf_dir, cfg)
+    per = c.groupBy("crawl_id", "crawl_ts").agg(
+        F.count_distinct("title").alias("current_titles"),
+        F.count_if("is_new").alias("new_items"),
+        F.slice(F.sort_array(F.collect_list(F.when(F.col("is_new"), F.struct("key_ord", "rank_in_group", "title")))), 1, 3).alias("_s"),
+    )
+    hist = nov.history_rows(capped(spark, sf_dir, cfg)).select("title", "crawl_ts").distinct()
+    hn = nov.window_distinct_counts(hist, per.select("crawl_ts"), "title", "crawl_ts", cfg)
+    samples = F.array_join(F.transform("_s", lambda x: F.concat(F.substring(x["title"], 1, 30), F.lit("..."))), " | ")
+    return per.join(hn, "crawl_ts", "left").select(
+        "crawl_id", "crawl_ts", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("history_titles"),
+        "current_titles", "new_items", samples.alias("samples"),
+    )
+
+
+def q_increment_stats(spark, sf_dir):
+    """Per crawl history/current distinct titles, new items, three samples."""
+    return increment_frame(spark, sf_dir).drop("crawl_ts")
+
+
+def q_push_decision(spark, sf_dir):
+    """Push iff new items (incremental mode), with the reason text."""
+    p = report.push_decision(increment_frame(spark, sf_dir).select("crawl_id", "new_items"), CFG)
+    return p.select("crawl_id", "new_items", "push", "push_reason")
+
+
+def q_crawl_summary(spark, sf_dir):
+    """Totals, platform outcome and push decision per crawl."""
+    t = report.report_totals(capped(spark, sf_dir), CFG).select("crawl_id", "total_news", "hot_news")
+    n_registry = A.documents_platforms(spark, sf_dir).count()
+    o = report.crawl_outcome(snapshots(spark, sf_dir), n_registry)
+    p = report.push_decision(increment_frame(spark, sf_dir).select("crawl_id", "new_items"), CFG)
+    return o.join(t, "crawl_id", "left").join(p, "crawl_id", "left").select(
+        "crawl_id", F.coalesce("total_news", F.lit(0)).alias("total_news"), F.coalesce("hot_news", F.lit(0)).alias("hot_news"),
+        "ok_platforms", "failed_platforms",
+        F.coalesce("push", F.lit(False)).alias("notification_sent"),
+        F.coalesce("push_reason", F.lit(report.REASON_NONE)).alias("push_reason"),
+    )
+
+
 QUERIES = {
     "feed_explode": q_feed_explode,
     "rank_collapse": q_rank_collapse,
     "weights": q_weights,
     "match_groups": q_match_groups,
     "top_headlines": q_top_headlines,
+    "report_totals": q_report_totals,
+    "group_summary": q_group_summary,
+    "report_view": q_report_view,
+    "report_latest_per_day": q_report_latest_per_day,
+    "crawl_outcome": q_crawl_outcome,
+    "title_keys": q_title_keys,
+    "novelty": q_novelty,
+    "presence_sessions": q_presence_sessions,
+    "strict_dedup": q_strict_dedup,
+    "history_asof": q_history_asof,
+    "history_stats": q_history_stats,
+    "increment_stats": q_increment_stats,
+    "push_decision": q_push_decision,
+    "crawl_summary": q_crawl_summary,
 }
