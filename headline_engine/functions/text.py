@@ -47,6 +47,9 @@ def tokens(title_col, key_col=None, mode: str = "reference") -> Column:
         src = _c(key_col) if key_col is not None else title_key(title_col)
     elif mode == "word":
         src = F.lower(_c(title_col))
+    elif mode == "char":
+        # Distinct characters of the lowercased, trimmed title
+        return F.array_distinct(F.split(clean_title(F.lower(_c(title_col))), ""))
     else:
         raise ValueError(f"unknown token mode {mode!r}")
     return F.array_distinct(F.regexp_extract_all(src, F.lit(TOKEN), 1))

@@ -266,3 +266,80 @@ SELECT oc.crawl_id, coalesce(t.total_news, 0) AS total_news, coalesce(t.hot_news
        coalesce(p.push, false) AS notification_sent, coalesce(p.push_reason, '无新内容') AS push_reason
 FROM oc LEFT JOIN totals t USING (crawl_id) LEFT JOIN push p USING (crawl_id)""",
 })
+
+
+def jacc(a: str, b: str) -> str:
+    return (f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE "
+            f"len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b})))::DOUBLE END)")
+
+
+def hybrid(ka: str, kb: str, j: str, la: str, lb: str) -> str:
+    return (f"(CASE WHEN {ka} = {kb} THEN 1.0::DOUBLE "
+            f"WHEN {j} * 0.6::DOUBLE + 0.4::DOUBLE < 0.8::DOUBLE THEN {j} * 0.6::DOUBLE "
+            f"ELSE {j} * 0.6::DOUBLE + (1.0::DOUBLE - levenshtein({ka}, {kb})::DOUBLE / greatest({la}, {lb})::DOUBLE) * 0.4::DOUBLE END)")
+
+
+GUARD = "NOT (abs(a.kl - b.kl) > greatest(a.kl, b.kl) * 0.6::DOUBLE)"
+SIZE23 = "least(len(a.tk), len(b.tk))::DOUBLE >= greatest(len(a.tk), len(b.tk))::DOUBLE * (2.0 / 3.0) - 1e-9"
+
+UNITS = f"""
+uk AS (
+  SELECT crawl_id, title, {keyof('title')} AS k, length({keyof('title')}) AS kl, {toks('lower(title)')} AS tk
+  FROM (SELECT DISTINCT crawl_id, title FROM heads))
+"""
+GUNITS = f"""
+gk AS (
+  SELECT title, {keyof('title')} AS k, length({keyof('title')}) AS kl, {toks('lower(title)')} AS tk
+  FROM (SELECT DISTINCT title FROM heads))
+"""
+CHARS = """
+ck2 AS (
+  SELECT crawl_id, title, list_distinct(regexp_extract_all(lower(title), '(?s).')) AS tk
+  FROM (SELECT DISTINCT crawl_id, title FROM heads))
+"""
+DEDUP_IN = f"""
+di AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY crawl_id, title_key ORDER BY key_ord, rank_in_group) AS rn
+                 FROM cnew WHERE is_new) WHERE rn = 1),
+dk AS (SELECT crawl_id, crawl_ts, title, title_key AS k, length(title_key) AS kl, {toks('lower(title)')} AS tk FROM di),
+hu AS (
+  SELECT h_ts, title, {keyof('title')} AS k, length({keyof('title')}) AS kl, {toks('lower(title)')} AS tk
+  FROM (SELECT DISTINCT crawl_ts AS h_ts, title FROM capped)),
+hpairs AS (
+  SELECT a.crawl_id, a.title, {jacc('a.tk', 'b.tk')} AS j, a.k AS ka, b.k AS kb, a.kl AS la, b.kl AS lb
+  FROM dk a JOIN hu b ON b.h_ts > a.crawl_ts - INTERVAL 7 DAY AND b.h_ts < a.crawl_ts AND {GUARD}
+  WHERE len(a.tk) > 0 AND len(b.tk) > 0),
+hdup AS (SELECT DISTINCT crawl_id, title FROM hpairs WHERE {hybrid('ka', 'kb', 'j', 'la', 'lb')} > 0.8::DOUBLE),
+dflag AS (
+  SELECT di.*, (hdup.title IS NOT NULL) AS hist_dup FROM di LEFT JOIN hdup USING (crawl_id, title))
+"""
+
+SQL.update({
+    "jaccard_pairs": with_ctes(BASE, UNITS) + f"""
+SELECT crawl_id, title_a, title_b, round(j, 9) AS jaccard FROM (
+  SELECT a.crawl_id, a.title AS title_a, b.title AS title_b, {jacc('a.tk', 'b.tk')} AS j
+  FROM uk a JOIN uk b ON a.crawl_id = b.crawl_id AND a.title < b.title)
+WHERE j > 0.1::DOUBLE""",
+    "char_jaccard_pairs": with_ctes(BASE, CHARS) + f"""
+SELECT crawl_id, title_a, title_b, round(j, 9) AS jaccard FROM (
+  SELECT a.crawl_id, a.title AS title_a, b.title AS title_b, {jacc('a.tk', 'b.tk')} AS j
+  FROM ck2 a JOIN ck2 b ON a.crawl_id = b.crawl_id AND a.title < b.title)
+WHERE j > 0.8::DOUBLE""",
+    "near_dup_edges": with_ctes(BASE, UNITS) + f"""
+SELECT crawl_id, title_a, title_b, round(sim, 9) AS sim FROM (
+  SELECT crawl_id, title_a, title_b, {hybrid('ka', 'kb', 'j', 'la', 'lb')} AS sim FROM (
+    SELECT a.crawl_id, a.title AS title_a, b.title AS title_b, a.k AS ka, b.k AS kb, a.kl AS la, b.kl AS lb,
+           {jacc('a.tk', 'b.tk')} AS j
+    FROM uk a JOIN uk b ON a.crawl_id = b.crawl_id AND a.title < b.title AND a.k <> b.k AND {GUARD}))
+WHERE sim > 0.8::DOUBLE""",
+    "near_dup_edges_global": with_ctes(BASE, GUNITS) + f"""
+SELECT title_a, title_b, round(sim, 9) AS sim FROM (
+  SELECT title_a, title_b, {hybrid('ka', 'kb', 'j', 'la', 'lb')} AS sim FROM (
+    SELECT a.title AS title_a, b.title AS title_b, a.k AS ka, b.k AS kb, a.kl AS la, b.kl AS lb,
+           {jacc('a.tk', 'b.tk')} AS j
+    FROM gk a JOIN gk b ON a.title < b.title AND a.k <> b.k AND {GUARD} AND {SIZE23}
+    WHERE len(a.tk) > 0 AND len(b.tk) > 0))
+WHERE sim > 0.8::DOUBLE""",
+    "near_dup_vs_history": with_ctes(BASE, RULES, MATCH, TOTALS, NOVELTY_CAPPED, DEDUP_IN) + """
+SELECT crawl_id, title, hist_dup FROM dflag""",
+})

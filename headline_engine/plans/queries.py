@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from headline_engine.config import DRIVER_CONFIG, EngineConfig
 from headline_engine.functions.timefmt import ts_text
 from headline_engine.functions.text import title_key, tokens
-from headline_engine.operators import feed, match, novelty as nov, report
+from headline_engine.operators import dedup, feed, match, novelty as nov, report, simjoin
 from headline_engine.sources import adapters as A
 from headline_engine.sources.rules import group_caps, load_rules
 
@@ -258,6 +258,70 @@ def q_crawl_summary(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------- step 4: similarity
+
+def q_jaccard_pairs(spark, sf_dir):
+    """Within-crawl title pairs with token Jaccard above the triage threshold."""
+    h = headlines(spark, sf_dir)
+    p = simjoin.jaccard_pairs(h, ["crawl_id"], CFG.triage_threshold, CFG)
+    return p.select("crawl_id", "title_a", "title_b", _r("jaccard").alias("jaccard"))
+
+
+def q_char_jaccard_pairs(spark, sf_dir):
+    """Within-crawl title pairs with character-set Jaccard above the threshold."""
+    from dataclasses import replace
+
+    h = headlines(spark, sf_dir)
+    p = simjoin.jaccard_pairs(h, ["crawl_id"], CFG.near_dup_threshold, replace(CFG, token_mode="char"))
+    return p.select("crawl_id", "title_a", "title_b", _r("jaccard").alias("jaccard"))
+
+
+def q_near_dup_edges(spark, sf_dir):
+    """Within-crawl near-duplicate title pairs (hybrid similarity > 0.8, unequal keys)."""
+    e = simjoin.near_dup_edges(headlines(spark, sf_dir), ["crawl_id"], CFG)
+    return e.select("crawl_id", "title_a", "title_b", _r("sim").alias("sim"))
+
+
+def q_near_dup_edges_global(spark, sf_dir):
+    """J5 over the whole table: near-duplicate pairs among all distinct titles."""
+    e = simjoin.near_dup_edges(headlines(spark, sf_dir), [], CFG)
+    return e.select("title_a", "title_b", _r("sim").alias("sim"))
+
+
+def dedup_input(spark, sf_dir, cfg: EngineConfig = CFG):
+    """G2 input: new report items, first per key in flatten order (W2), with J4 flags."""
+    c = report_items_new(spark, sf_dir, cfg)
+    hist = nov.history_rows(capped(spark, sf_dir, cfg)).select("crawl_ts", "title")
+    items = c.where("is_new")
+    w = Window.partitionBy("crawl_id", "title_key").orderBy("key_ord", "rank_in_group")
+    items = items.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return simjoin.near_dup_vs_history(items, hist, cfg)
+
+
+def q_near_dup_vs_history(spark, sf_dir):
+    """New items flagged when a 7-day history title is a near duplicate."""
+    d = dedup_input(spark, sf_dir)
+    return d.select("crawl_id", "title", "hist_dup")
+
+
+def greedy_frame(spark, sf_dir, cfg: EngineConfig = CFG):
+    d = dedup_input(spark, sf_dir, cfg).where(~F.col("hist_dup"))
+    return dedup.greedy_dedup(d, cfg)
+
+
+def q_greedy_dedup(spark, sf_dir):
+    """Greedy representative dedup per crawl; slot order of the kept items."""
+    g = greedy_frame(spark, sf_dir)
+    return g.select("crawl_id", F.col("slot").cast("bigint").alias("slot"), "title", _r("weight").alias("weight"))
+
+
+def q_simple_dedup(spark, sf_dir):
+    """First-wins dedup on character-set Jaccard > 0.8 over each crawl's report items."""
+    c = capped(spark, sf_dir)
+    s = dedup.simple_dedup(c, CFG)
+    return s.select("crawl_id", F.col("pos").cast("bigint").alias("pos"), "title")
+
+
 QUERIES = {
     "feed_explode": q_feed_explode,
     "rank_collapse": q_rank_collapse,
@@ -278,4 +342,11 @@ QUERIES = {
     "increment_stats": q_increment_stats,
     "push_decision": q_push_decision,
     "crawl_summary": q_crawl_summary,
+    "jaccard_pairs": q_jaccard_pairs,
+    "char_jaccard_pairs": q_char_jaccard_pairs,
+    "near_dup_edges": q_near_dup_edges,
+    "near_dup_edges_global": q_near_dup_edges_global,
+    "near_dup_vs_history": q_near_dup_vs_history,
+    "greedy_dedup": q_greedy_dedup,
+    "simple_dedup": q_simple_dedup,
 }
