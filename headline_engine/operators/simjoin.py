@@ -8,6 +8,11 @@ join condition, and every candidate is verified with the exact similarity.
 
 For the hybrid near-duplicate similarity with threshold 0.8 and unequal keys,
 0.6J + 0.4L > 0.8 with L < 1 forces J > 2/3, so t = (thr - 0.4) / 0.6.
+
+Titles can be long (whole paragraphs), so every distinct title becomes a unit
+with a materialised integer id (checkpointed, hence stable on recompute); the
+token join and the pair dedup move only (scope, id, id) rows, and the titles,
+keys and token sets are attached to the surviving candidates only.
 """
 
 from __future__ import annotations
@@ -18,18 +23,22 @@ from pyspark.sql import functions as F
 from headline_engine.config import EngineConfig
 from headline_engine.functions.similarity import hybrid_sim, jaccard, length_ok, min_jaccard, prefix_len, size_ok
 from headline_engine.functions.text import title_key, tokens
+from headline_engine.session import ensure_checkpoint_dir
 
 
 def units(df: DataFrame, scope: list[str], cfg: EngineConfig, title: str = "title") -> DataFrame:
-    """Distinct (scope..., title) with key, token set and sizes."""
+    """Distinct (scope..., title) with key, token set, sizes and a stable integer `uid`."""
+    ensure_checkpoint_dir(df.sparkSession)
     u = df.select(*scope, title).distinct()
     k = title_key(title)
-    return (
+    u = (
         u.withColumn("title_key", k)
         .withColumn("toks", tokens(title, "title_key", cfg.token_mode))
         .withColumn("n_tok", F.size("toks"))
         .withColumn("key_len", F.length("title_key"))
+        .withColumn("uid", F.monotonically_increasing_id())
     )
+    return u.checkpoint(eager=True)
 
 
 def token_order(u: DataFrame) -> DataFrame:
@@ -38,41 +47,45 @@ def token_order(u: DataFrame) -> DataFrame:
 
 
 def prefixes(u: DataFrame, scope: list[str], t: float, order: DataFrame) -> DataFrame:
-    """(scope..., title, tok) for the prefix tokens of every unit.
+    """(scope..., uid, n_tok, key_len, tok) for the prefix tokens of every unit.
 
-    The rank of a token inside its title comes from a window over that title's
+    The rank of a token inside its title comes from a window over that unit's
     own tokens (bounded by one title), after joining the token frequencies.
     """
-    ex = u.select(*scope, "title", "n_tok", "key_len", F.explode("toks").alias("tok"))
+    ex = u.select(*scope, "uid", "n_tok", "key_len", F.explode("toks").alias("tok"))
     ex = ex.join(order, "tok")
-    w = Window.partitionBy(*scope, "title").orderBy("df", "tok")
+    w = Window.partitionBy("uid").orderBy("df", "tok")
     return ex.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= prefix_len("n_tok", t)).drop("_r", "df")
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, join_keys: list[str], t: float, cfg: EngineConfig,
                     self_join: bool, guard_length: bool = True) -> DataFrame:
-    """Distinct (join_keys..., title_a, title_b) sharing a prefix token and passing the size/length bounds."""
-    a = left.select(*[F.col(c) for c in join_keys], F.col("title").alias("title_a"),
-                    F.col("n_tok").alias("na"), F.col("key_len").alias("la"))
-    b = right.select(*[F.col(c) for c in join_keys], F.col("title").alias("title_b"),
-                     F.col("n_tok").alias("nb"), F.col("key_len").alias("lb"))
+    """Distinct (join_keys minus tok..., uid_a, uid_b) sharing a prefix token within the size/length bounds."""
+    a = left.select(*join_keys, F.col("uid").alias("uid_a"), F.col("n_tok").alias("na"), F.col("key_len").alias("la"))
+    b = right.select(*join_keys, F.col("uid").alias("uid_b"), F.col("n_tok").alias("nb"), F.col("key_len").alias("lb"))
     cond = size_ok("na", "nb", t)
     if guard_length:
         cond = cond & length_ok("la", "lb", cfg)
     if self_join:
-        cond = cond & (F.col("title_a") < F.col("title_b"))
-    j = a.join(b, join_keys).where(cond)
+        cond = cond & (F.col("uid_a") < F.col("uid_b"))
     keep = [c for c in join_keys if c != "tok"]
-    return j.select(*keep, "title_a", "title_b").distinct()
+    return a.join(b, join_keys).where(cond).select(*keep, "uid_a", "uid_b").distinct()
 
 
-def attach(pairs: DataFrame, ua: DataFrame, ub: DataFrame, scope_a: list[str], scope_b: list[str]) -> DataFrame:
-    """Join both sides' key and tokens onto candidate pairs."""
-    ra = ua.select(*scope_a, F.col("title").alias("title_a"), F.col("title_key").alias("key_a"),
+def attach(pairs: DataFrame, ua: DataFrame, ub: DataFrame) -> DataFrame:
+    """Join both sides' title, key and tokens onto candidate id pairs."""
+    ra = ua.select(F.col("uid").alias("uid_a"), F.col("title").alias("title_a"), F.col("title_key").alias("key_a"),
                    F.col("toks").alias("tok_a"), F.col("key_len").alias("la"))
-    rb = ub.select(*scope_b, F.col("title").alias("title_b"), F.col("title_key").alias("key_b"),
+    rb = ub.select(F.col("uid").alias("uid_b"), F.col("title").alias("title_b"), F.col("title_key").alias("key_b"),
                    F.col("toks").alias("tok_b"), F.col("key_len").alias("lb"))
-    return pairs.join(ra, scope_a + ["title_a"]).join(rb, scope_b + ["title_b"])
+    return pairs.join(ra, "uid_a").join(rb, "uid_b")
+
+
+def _ordered(df: DataFrame, scope: list[str], value: str) -> DataFrame:
+    """Report pairs with title_a < title_b whatever the id order."""
+    lo = F.least("title_a", "title_b")
+    hi = F.greatest("title_a", "title_b")
+    return df.select(*scope, lo.alias("title_a"), hi.alias("title_b"), value)
 
 
 def near_dup_edges(df: DataFrame, scope: list[str], cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -83,12 +96,22 @@ def near_dup_edges(df: DataFrame, scope: list[str], cfg: EngineConfig = EngineCo
     """
     t = min_jaccard(cfg)
     u = units(df, scope, cfg).where(F.col("n_tok") > 0)
-    order = token_order(u)
-    p = prefixes(u, scope, t, order)
+    p = prefixes(u, scope, t, token_order(u))
     pairs = candidate_pairs(p, p, scope + ["tok"], t, cfg, self_join=True)
-    v = attach(pairs, u, u, scope, scope).where(F.col("key_a") != F.col("key_b"))
+    v = attach(pairs, u, u).where(F.col("key_a") != F.col("key_b"))
     sim = hybrid_sim("key_a", "key_b", "tok_a", "tok_b", "la", "lb", cfg)
-    return v.withColumn("sim", sim).where(F.col("sim") > F.lit(cfg.near_dup_threshold)).select(*scope, "title_a", "title_b", "sim")
+    e = v.withColumn("sim", sim).where(F.col("sim") > F.lit(cfg.near_dup_threshold))
+    return _ordered(e, scope, "sim")
+
+
+def jaccard_pairs(df: DataFrame, scope: list[str], t: float, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """(scope..., title_a < title_b, jaccard) with Jaccard > t (tokens per cfg.token_mode)."""
+    u = units(df, scope, cfg).where(F.col("n_tok") > 0)
+    p = prefixes(u, scope, t, token_order(u))
+    pairs = candidate_pairs(p, p, scope + ["tok"], t, cfg, self_join=True, guard_length=False)
+    v = attach(pairs, u, u)
+    e = v.withColumn("jaccard", jaccard("tok_a", "tok_b")).where(F.col("jaccard") > F.lit(t))
+    return _ordered(e, scope, "jaccard")
 
 
 def _week(ts_col, days: int):
@@ -99,7 +122,7 @@ def near_dup_vs_history(items: DataFrame, history: DataFrame, cfg: EngineConfig
     """Items (crawl_id, crawl_ts, title, ...) with `hist_dup` = some history title
     seen in (crawl_ts - window, crawl_ts) has hybrid similarity > threshold.
 
-    History rows only meet items of the same or the next window-wide time
+    History units only meet items of the same or the next window-wide time
     bucket, so an item never meets history older than two windows.
     """
     t = min_jaccard(cfg)
@@ -110,29 +133,13 @@ def near_dup_vs_history(items: DataFrame, history: DataFrame, cfg: EngineConfig
     ip = prefixes(iu, ["crawl_id", "crawl_ts"], t, order).withColumn("wk", _week("crawl_ts", days))
     hp = prefixes(hu, ["h_ts"], t, order)
     hp = hp.withColumn("wk", F.explode(F.array(_week("h_ts", days), _week("h_ts", days) + 1)))
-    a = ip.select("crawl_id", "crawl_ts", "wk", "tok", F.col("title").alias("title_a"),
-                  F.col("n_tok").alias("na"), F.col("key_len").alias("la"))
-    b = hp.select("wk", "tok", "h_ts", F.col("title").alias("title_b"), F.col("n_tok").alias("nb"), F.col("key_len").alias("lb"))
+    a = ip.select("crawl_ts", "wk", "tok", F.col("uid").alias("uid_a"), F.col("n_tok").alias("na"), F.col("key_len").alias("la"))
+    b = hp.select("wk", "tok", "h_ts", F.col("uid").alias("uid_b"), F.col("n_tok").alias("nb"), F.col("key_len").alias("lb"))
     lo = F.col("crawl_ts") - F.make_interval(days=F.lit(days))
     cond = size_ok("na", "nb", t) & length_ok("la", "lb", cfg) & (F.col("h_ts") > lo) & (F.col("h_ts") < F.col("crawl_ts"))
-    pairs = a.join(b, ["wk", "tok"]).where(cond).select("crawl_id", "crawl_ts", "title_a", "title_b").distinct()
-    ra = iu.select("crawl_id", F.col("title").alias("title_a"), F.col("title_key").alias("key_a"),
-                   F.col("toks").alias("tok_a"), F.col("key_len").alias("la"))
-    rb = hu.select(F.col("title").alias("title_b"), F.col("title_key").alias("key_b"),
-                   F.col("toks").alias("tok_b"), F.col("key_len").alias("lb")).distinct()
-    v = pairs.join(ra, ["crawl_id", "title_a"]).join(rb, "title_b")
+    pairs = a.join(b, ["wk", "tok"]).where(cond).select("uid_a", "uid_b").distinct()
+    v = attach(pairs, iu, hu)
     sim = hybrid_sim("key_a", "key_b", "tok_a", "tok_b", "la", "lb", cfg)
-    dups = v.where(sim > F.lit(cfg.near_dup_threshold)).select("crawl_id", F.col("title_a").alias("title")).distinct()
-    return items.join(dups.withColumn("hist_dup", F.lit(True)), ["crawl_id", "title"], "left").withColumn(
-        "hist_dup", F.coalesce("hist_dup", F.lit(False)))
-
-
-def jaccard_pairs(df: DataFrame, scope: list[str], t: float, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """(scope..., title_a < title_b, jaccard) with Jaccard > t (tokens per cfg.token_mode)."""
-    u = units(df, scope, cfg).where(F.col("n_tok") > 0)
-    order = token_order(u)
-    p = prefixes(u, scope, t, order)
-    pairs = candidate_pairs(p, p, scope + ["tok"], t, cfg, self_join=True, guard_length=False)
-    v = attach(pairs, u, u, scope, scope)
-    j = jaccard("tok_a", "tok_b")
-    return v.withColumn("jaccard", j).where(F.col("jaccard") > F.lit(t)).select(*scope, "title_a", "title_b", "jaccard")
+    dup_ids = v.where(sim > F.lit(cfg.near_dup_threshold)).select(F.col("uid_a").alias("uid")).distinct()
+    dups = iu.join(dup_ids, "uid").select("crawl_id", "title").withColumn("hist_dup", F.lit(True))
+    return items.join(dups, ["crawl_id", "title"], "left").withColumn("hist_dup", F.coalesce("hist_dup", F.lit(False)))

@@ -117,8 +117,9 @@ capped AS (SELECT * FROM ranked WHERE rank_in_group <= cap)
 """
 
 
-def with_ctes(*parts: str) -> str:
-    return "WITH " + ",".join(p.strip().rstrip(",") for p in parts) + "\n"
+def with_ctes(*parts: str, recursive: bool = False) -> str:
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",".join(p.strip().rstrip(",") for p in parts) + "\n"
 
 
 H = with_ctes(BASE)
@@ -343,3 +344,135 @@ WHERE sim > 0.8::DOUBLE""",
     "near_dup_vs_history": with_ctes(BASE, RULES, MATCH, TOTALS, NOVELTY_CAPPED, DEDUP_IN) + """
 SELECT crawl_id, title, hist_dup FROM dflag""",
 })
+
+CAND = f"""
+cl AS (
+  SELECT crawl_id, crawl_ts, title, title_key, key_ord, rank_in_group, weight, source,
+         row_number() OVER (PARTITION BY crawl_id ORDER BY key_ord, rank_in_group) - 1 AS pos
+  FROM dflag WHERE NOT hist_dup),
+clk AS (SELECT crawl_id, crawl_ts, pos, title, weight, source, title_key AS k, length(title_key) AS kl,
+               {toks('lower(title)')} AS tk FROM cl),
+hpc AS (
+  SELECT c.crawl_id, h.title, min({{'h_ts': h.crawl_ts, 'key_ord': h.key_ord, 'rank_in_group': h.rank_in_group}}) AS hpos
+  FROM (SELECT DISTINCT crawl_id, crawl_ts FROM cl) c
+  JOIN capped h ON h.crawl_ts > c.crawl_ts - INTERVAL 7 DAY AND h.crawl_ts < c.crawl_ts
+  GROUP BY c.crawl_id, h.title),
+hpk AS (SELECT crawl_id, title, hpos, {toks('lower(title)')} AS tk FROM hpc),
+ihp AS (
+  SELECT a.crawl_id, a.title AS title_a, b.title AS title_b, b.hpos
+  FROM clk a JOIN hpk b ON a.crawl_id = b.crawl_id
+  WHERE len(a.tk) > 0 AND len(b.tk) > 0 AND {jacc('a.tk', 'b.tk')} > 0.1::DOUBLE),
+inp AS (
+  SELECT a.crawl_id, a.title AS title_a, b.title AS title_b
+  FROM clk a JOIN clk b ON a.crawl_id = b.crawl_id AND a.title < b.title
+  WHERE len(a.tk) > 0 AND len(b.tk) > 0 AND {jacc('a.tk', 'b.tk')} > 0.1::DOUBLE),
+sus AS (
+  SELECT DISTINCT crawl_id, title FROM (
+    SELECT crawl_id, title_a AS title FROM ihp UNION ALL SELECT crawl_id, title_a FROM inp
+    UNION ALL SELECT crawl_id, title_b FROM inp)),
+flags AS (
+  SELECT cl.crawl_id, cl.pos, cl.title, cl.source, (sus.title IS NOT NULL) AS ambiguous
+  FROM cl LEFT JOIN sus USING (crawl_id, title)),
+flags2 AS (
+  SELECT *, CASE WHEN ambiguous THEN row_number() OVER (PARTITION BY crawl_id, ambiguous ORDER BY pos) - 1 END AS item_id
+  FROM flags),
+ctx AS (
+  SELECT crawl_id, title, row_number() OVER (PARTITION BY crawl_id ORDER BY hpos, title) - 1 AS ctx_ord
+  FROM (SELECT DISTINCT crawl_id, title_b AS title, hpos FROM ihp)),
+toxic AS (
+  SELECT d.crawl_id, d.source FROM labels l JOIN docs d USING (doc_id) WHERE l.toxic = 1),
+verdicts AS (
+  SELECT f.crawl_id, f.item_id FROM flags2 f JOIN toxic t ON f.crawl_id = t.crawl_id AND f.source = t.source
+  WHERE f.ambiguous),
+vkept AS (
+  SELECT f.* FROM flags2 f WHERE NOT EXISTS (
+    SELECT 1 FROM verdicts v WHERE v.crawl_id = f.crawl_id AND v.item_id = f.item_id)),
+vfinal AS (
+  SELECT crawl_id, title, row_number() OVER (PARTITION BY crawl_id ORDER BY ambiguous, pos) - 1 AS final_pos FROM vkept)
+"""
+
+# G1 as a recursive fold: state = kept slots per crawl; one step per item in list order.
+GREEDY = f"""
+gedges AS (
+  SELECT a.crawl_id, a.title AS ta, b.title AS tb FROM clk a JOIN clk b
+    ON a.crawl_id = b.crawl_id AND a.title <> b.title AND a.k <> b.k AND {GUARD}
+  WHERE len(a.tk) > 0 AND len(b.tk) > 0
+    AND {hybrid('a.k', 'b.k', jacc('a.tk', 'b.tk'), 'a.kl', 'b.kl')} > 0.8::DOUBLE),
+gadj AS (
+  SELECT c.crawl_id, c.pos + 1 AS i, c.title, c.weight, c.source,
+         coalesce(list(e.tb) FILTER (WHERE e.tb IS NOT NULL), []) AS adj
+  FROM clk c LEFT JOIN gedges e ON e.crawl_id = c.crawl_id AND e.ta = c.title
+  GROUP BY c.crawl_id, c.pos, c.title, c.weight, c.source),
+grec AS (
+  SELECT crawl_id, 0 AS i, []::STRUCT(title VARCHAR, weight DOUBLE, source VARCHAR)[] AS slots
+  FROM (SELECT DISTINCT crawl_id FROM clk)
+  UNION ALL
+  SELECT r.crawl_id, r.i + 1,
+    CASE WHEN coalesce(list_position(list_transform(r.slots, lambda s: list_contains(a.adj, s.title)), true), 0) = 0
+           THEN list_append(r.slots, {{'title': a.title, 'weight': a.weight, 'source': a.source}})
+         WHEN a.weight > r.slots[list_position(list_transform(r.slots, lambda s: list_contains(a.adj, s.title)), true)].weight
+           THEN list_transform(r.slots, lambda s, j: CASE
+                  WHEN j = list_position(list_transform(r.slots, lambda s2: list_contains(a.adj, s2.title)), true)
+                  THEN {{'title': a.title, 'weight': a.weight, 'source': a.source}} ELSE s END)
+         ELSE r.slots END
+  FROM grec r JOIN gadj a ON a.crawl_id = r.crawl_id AND a.i = r.i + 1),
+gfinal AS (
+  SELECT r.crawl_id, r.slots FROM grec r
+  JOIN (SELECT crawl_id, max(i) AS n FROM grec GROUP BY crawl_id) m ON m.crawl_id = r.crawl_id AND m.n = r.i),
+gslots AS (
+  SELECT crawl_id, unnest(slots) AS s, unnest(range(0, len(slots))) AS slot FROM gfinal)
+"""
+
+SIMPLE = f"""
+sitems AS (
+  SELECT crawl_id, title, lower(title) AS lowered,
+         row_number() OVER (PARTITION BY crawl_id ORDER BY key_ord, rank_in_group, group_ord) AS i,
+         list_distinct(regexp_extract_all({trimjs('lower(title)')}, '(?s).')) AS tk
+  FROM capped),
+sunits AS (SELECT DISTINCT crawl_id, title, tk FROM sitems),
+sedges AS (
+  SELECT a.crawl_id, a.title AS ta, b.title AS tb FROM sunits a JOIN sunits b
+    ON a.crawl_id = b.crawl_id AND a.title <> b.title
+  WHERE len(a.tk) > 0 AND len(b.tk) > 0 AND {jacc('a.tk', 'b.tk')} > 0.8::DOUBLE),
+sadj AS (
+  SELECT s.crawl_id, s.i, s.title, s.lowered, coalesce(list(e.tb) FILTER (WHERE e.tb IS NOT NULL), []) AS adj
+  FROM sitems s LEFT JOIN sedges e ON e.crawl_id = s.crawl_id AND e.ta = s.title
+  GROUP BY s.crawl_id, s.i, s.title, s.lowered),
+srec AS (
+  SELECT crawl_id, 0 AS i, []::VARCHAR[] AS kept, []::VARCHAR[] AS seen FROM (SELECT DISTINCT crawl_id FROM sitems)
+  UNION ALL
+  SELECT r.crawl_id, r.i + 1,
+    CASE WHEN list_contains(r.seen, a.lowered) OR len(list_filter(r.kept, lambda k: list_contains(a.adj, k))) > 0
+         THEN r.kept ELSE list_append(r.kept, a.title) END,
+    CASE WHEN list_contains(r.seen, a.lowered) OR len(list_filter(r.kept, lambda k: list_contains(a.adj, k))) > 0
+         THEN r.seen ELSE list_append(r.seen, a.lowered) END
+  FROM srec r JOIN sadj a ON a.crawl_id = r.crawl_id AND a.i = r.i + 1),
+sfinal AS (
+  SELECT r.crawl_id, r.kept FROM srec r
+  JOIN (SELECT crawl_id, max(i) AS n FROM srec GROUP BY crawl_id) m ON m.crawl_id = r.crawl_id AND m.n = r.i)
+"""
+
+RV = with_ctes(BASE, RULES, MATCH, TOTALS, NOVELTY_CAPPED, DEDUP_IN, CAND)
+RG = with_ctes(BASE, RULES, MATCH, TOTALS, NOVELTY_CAPPED, DEDUP_IN, CAND, GREEDY, recursive=True)
+
+SQL.update({
+    "triage": RV + """
+SELECT crawl_id, pos::BIGINT AS pos, title, ambiguous, item_id::BIGINT AS item_id FROM flags2""",
+    "triage_context": RV + """
+SELECT crawl_id, ctx_ord::BIGINT AS ctx_ord, title FROM ctx WHERE ctx_ord < 50""",
+    "apply_verdicts": RV + """
+SELECT crawl_id, final_pos::BIGINT AS final_pos, title FROM vfinal""",
+    "greedy_dedup": RG + """
+SELECT crawl_id, slot::BIGINT AS slot, s.title AS title, round(s.weight, 9) AS weight FROM gslots""",
+    "simple_dedup": with_ctes(BASE, RULES, MATCH, SIMPLE, recursive=True) + """
+SELECT crawl_id, unnest(range(0, len(kept)))::BIGINT AS pos, unnest(kept) AS title FROM sfinal""",
+    "text_report": RG + """
+SELECT g.crawl_id, count(*)::BIGINT AS items,
+       '🔥 热点新闻推送' || chr(10) || chr(10) || ' ' || count(*) || '条 |  ' || any_value(t.generate_time) || chr(10) ||
+       string_agg(ln, '' ORDER BY rn) AS body
+FROM (SELECT crawl_id, row_number() OVER (PARTITION BY crawl_id ORDER BY s.weight DESC, slot) AS rn,
+             row_number() OVER (PARTITION BY crawl_id ORDER BY s.weight DESC, slot) || '. ' || s.title || ' - ' || s.source || chr(10) AS ln
+      FROM gslots) g
+JOIN totals t USING (crawl_id)
+GROUP BY g.crawl_id""",
+})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from headline_engine.config import DRIVER_CONFIG, EngineConfig
 from headline_engine.functions.timefmt import ts_text
 from headline_engine.functions.text import title_key, tokens
-from headline_engine.operators import dedup, feed, match, novelty as nov, report, simjoin
+from headline_engine.operators import dedup, feed, match, novelty as nov, report, review, simjoin
 from headline_engine.sources import adapters as A
 from headline_engine.sources.rules import group_caps, load_rules
 
@@ -26,18 +26,41 @@ def _r(col, places: int = 9):
 
 
 # ---------------------------------------------------------------- building blocks
+# Base frames are built once per (session, tables, config) and reused inside a
+# query, so a plan that reads the report items several times shares one
+# subtree. The report items (bounded by caps x crawls) are checkpointed to the
+# session's checkpoint folder, which also cuts their lineage.
+
+_MEMO: dict = {}
+
+
+def reset_memo() -> None:
+    _MEMO.clear()
+
+
+def _memo(kind: str, spark: SparkSession, sf_dir: str, cfg: EngineConfig, build):
+    key = (kind, spark.sparkContext.applicationId, sf_dir, repr(cfg))
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.documents_snapshots(spark, sf_dir)
+    return _memo("snapshots", spark, sf_dir, CFG, lambda: A.documents_snapshots(spark, sf_dir))
+
+
+def platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo("platforms", spark, sf_dir, CFG, lambda: A.documents_platforms(spark, sf_dir))
 
 
 def headlines(spark: SparkSession, sf_dir: str, cfg: EngineConfig = CFG) -> DataFrame:
     """M3 rows: collapsed per (crawl, platform, title) with registry order and name."""
-    return feed.with_platforms(feed.collapse_items(snapshots(spark, sf_dir), cfg), A.documents_platforms(spark, sf_dir))
+    return _memo("headlines", spark, sf_dir, cfg, lambda: feed.with_platforms(
+        feed.collapse_items(snapshots(spark, sf_dir), cfg), platforms(spark, sf_dir)))
 
 
 def rules_of(spark: SparkSession, cfg: EngineConfig = CFG):
-    return load_rules(spark, cfg.rules_text)
+    return _memo("rules", spark, "", cfg, lambda: load_rules(spark, cfg.rules_text))
 
 
 def matched_headlines(spark: SparkSession, sf_dir: str, cfg: EngineConfig = CFG) -> DataFrame:
@@ -46,10 +69,16 @@ def matched_headlines(spark: SparkSession, sf_dir: str, cfg: EngineConfig = CFG)
 
 
 def capped(spark: SparkSession, sf_dir: str, cfg: EngineConfig = CFG) -> DataFrame:
-    """M5 after W1: the per-crawl report items."""
-    rules, filters = rules_of(spark, cfg)
-    m = match.matched(headlines(spark, sf_dir, cfg), rules, filters)
-    return match.top_per_group(m, rules, cfg)
+    """M5 after W1: the per-crawl report items (checkpointed)."""
+    def build():
+        from headline_engine.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(spark)
+        rules, filters = rules_of(spark, cfg)
+        m = match.matched(headlines(spark, sf_dir, cfg), rules, filters)
+        return match.top_per_group(m, rules, cfg).checkpoint(eager=True)
+
+    return _memo("capped", spark, sf_dir, cfg, build)
 
 
 # ---------------------------------------------------------------- step 0-1
@@ -57,7 +86,7 @@ def capped(spark: SparkSession, sf_dir: str, cfg: EngineConfig = CFG) -> DataFra
 def q_feed_explode(spark, sf_dir):
     """Valid items with their raw position as rank."""
     items = feed.explode_feed(snapshots(spark, sf_dir))
-    items = feed.with_platforms(items, A.documents_platforms(spark, sf_dir))
+    items = feed.with_platforms(items, platforms(spark, sf_dir))
     return items.select(
         "crawl_id", ts_text("crawl_ts").alias("crawl_ts"), "platform_ord", "platform_id", "rank", "title"
     )
@@ -145,7 +174,7 @@ def q_report_latest_per_day(spark, sf_dir):
 
 def q_crawl_outcome(spark, sf_dir):
     """S3: ok / failed registry platforms per crawl."""
-    n_registry = A.documents_platforms(spark, sf_dir).count()
+    n_registry = platforms(spark, sf_dir).count()
     o = report.crawl_outcome(snapshots(spark, sf_dir), n_registry)
     return o.select("crawl_id", "ok_platforms", "failed_platforms", "has_report")
 
@@ -247,7 +276,7 @@ def q_push_decision(spark, sf_dir):
 def q_crawl_summary(spark, sf_dir):
     """Totals, platform outcome and push decision per crawl."""
     t = report.report_totals(capped(spark, sf_dir), CFG).select("crawl_id", "total_news", "hot_news")
-    n_registry = A.documents_platforms(spark, sf_dir).count()
+    n_registry = platforms(spark, sf_dir).count()
     o = report.crawl_outcome(snapshots(spark, sf_dir), n_registry)
     p = report.push_decision(increment_frame(spark, sf_dir).select("crawl_id", "new_items"), CFG)
     return o.join(t, "crawl_id", "left").join(p, "crawl_id", "left").select(
@@ -289,13 +318,16 @@ def q_near_dup_edges_global(spark, sf_dir):
 
 
 def dedup_input(spark, sf_dir, cfg: EngineConfig = CFG):
-    """G2 input: new report items, first per key in flatten order (W2), with J4 flags."""
-    c = report_items_new(spark, sf_dir, cfg)
-    hist = nov.history_rows(capped(spark, sf_dir, cfg)).select("crawl_ts", "title")
-    items = c.where("is_new")
-    w = Window.partitionBy("crawl_id", "title_key").orderBy("key_ord", "rank_in_group")
-    items = items.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    return simjoin.near_dup_vs_history(items, hist, cfg)
+    """G2 input: new report items, first per key in flatten order (W2), with J4 flags (checkpointed)."""
+    def build():
+        c = report_items_new(spark, sf_dir, cfg)
+        hist = nov.history_rows(capped(spark, sf_dir, cfg)).select("crawl_ts", "title")
+        items = c.where("is_new")
+        w = Window.partitionBy("crawl_id", "title_key").orderBy("key_ord", "rank_in_group")
+        items = items.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        return simjoin.near_dup_vs_history(items, hist, cfg).checkpoint(eager=True)
+
+    return _memo("dedup_input", spark, sf_dir, cfg, build)
 
 
 def q_near_dup_vs_history(spark, sf_dir):
@@ -322,6 +354,55 @@ def q_simple_dedup(spark, sf_dir):
     return s.select("crawl_id", F.col("pos").cast("bigint").alias("pos"), "title")
 
 
+def candidate_list(spark, sf_dir, cfg: EngineConfig = CFG):
+    """The list the near-duplicate stages walk: J4 survivors with their flatten position."""
+    d = dedup_input(spark, sf_dir, cfg).where(~F.col("hist_dup"))
+    w = Window.partitionBy("crawl_id").orderBy("key_ord", "rank_in_group")
+    return d.withColumn("pos", F.row_number().over(w) - 1)
+
+
+def _history_report_rows(spark, sf_dir, cfg: EngineConfig = CFG):
+    return capped(spark, sf_dir, cfg).select("crawl_ts", "title", "key_ord", "rank_in_group")
+
+
+def q_triage(spark, sf_dir):
+    """Ambiguous items (Jaccard > 0.1 with 7-day history or another item) and their ids."""
+    flags, _ = review.triage(candidate_list(spark, sf_dir), _history_report_rows(spark, sf_dir), CFG)
+    return flags.select("crawl_id", F.col("pos").cast("bigint").alias("pos"), "title", "ambiguous",
+                        F.col("item_id").cast("bigint").alias("item_id"))
+
+
+def q_triage_context(spark, sf_dir):
+    """The first 50 related history titles per crawl, in history order."""
+    _, ctx = review.triage(candidate_list(spark, sf_dir), _history_report_rows(spark, sf_dir), CFG)
+    return ctx.select("crawl_id", F.col("ctx_ord").cast("bigint").alias("ctx_ord"), "title")
+
+
+def label_verdicts(spark, sf_dir, flags):
+    """Verdicts from `labels`: the reviewer removes the ambiguous items that came from a
+    response whose document is labelled toxic."""
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", "source")
+    ords = A.ordinal_within(docs, "source", "doc_id")
+    toxic = A.table(spark, sf_dir, "labels").where(F.col("toxic") == 1).select("doc_id")
+    resp = toxic.join(ords, "doc_id").select(F.col("ordinal").alias("crawl_id"), F.col("source").alias("source"))
+    return flags.where("ambiguous").join(resp, ["crawl_id", "source"]).select("crawl_id", "item_id")
+
+
+def q_apply_verdicts(spark, sf_dir):
+    """Safe items then the ambiguous items the verdicts keep, first per exact title."""
+    flags, _ = review.triage(candidate_list(spark, sf_dir), _history_report_rows(spark, sf_dir), CFG)
+    final = review.apply_verdicts(flags, label_verdicts(spark, sf_dir, flags))
+    return final.select("crawl_id", F.col("final_pos").cast("bigint").alias("final_pos"), "title")
+
+
+def q_text_report(spark, sf_dir):
+    """The pushed text per crawl (header + lines by weight, ties in slot order)."""
+    g = greedy_frame(spark, sf_dir)
+    totals = report.report_totals(capped(spark, sf_dir), CFG)
+    t = report.text_report(g.withColumn("slot", F.col("slot")), totals)
+    return t.select("crawl_id", F.col("items").cast("bigint").alias("items"), "body")
+
+
 QUERIES = {
     "feed_explode": q_feed_explode,
     "rank_collapse": q_rank_collapse,
@@ -349,4 +430,8 @@ QUERIES = {
     "near_dup_vs_history": q_near_dup_vs_history,
     "greedy_dedup": q_greedy_dedup,
     "simple_dedup": q_simple_dedup,
+    "triage": q_triage,
+    "triage_context": q_triage_context,
+    "apply_verdicts": q_apply_verdicts,
+    "text_report": q_text_report,
 }
