@@ -22,12 +22,12 @@ TRIAGE_CONTEXT = 50
 HISTORY_DAYS = 7
 HOLIDAY_HOURS = (10, 12, 16, 20)
 LOCAL_TZ = "Asia/Shanghai"  # UTC+8, no DST
-# channel -> (byte limit, format); formats: markdown text or stripped text
+# channel -> (byte limit, rule line above the part footer, markdown stripped)
 CHANNELS = (
-    ("feishu", 30000, "text"),
-    ("dingtalk", 20000, "text"),
-    ("wework", 4000, "markdown"),
-    ("telegram", 4000, "markdown"),
+    ("feishu", 30000, True, False),
+    ("dingtalk", 20000, False, False),
+    ("wework", 4000, False, False),
+    ("telegram", 4000, False, False),
 )
 # retention in days per stored table
 RETENTION_DAYS = {
@@ -49,6 +49,9 @@ UA_DENY = (
     "libwww", "aiohttp", "axios", "node-fetch", "okhttp",
 )
 
+# Calendar used by the driver-table schedule gate (day, status): '1' holiday, '2' workday.
+DRIVER_CALENDAR = (("2024-01-01", "1"), ("2024-01-06", "2"), ("2024-01-08", "1"), ("2024-01-20", "2"), ("2024-01-22", "1"))
+
 # Rule text used by the driver-table queries (own rules, reference syntax).
 DRIVER_RULES = "tion\nough\n@15\n\n+ein\nsch\nheit\nkeit\n\n+the\nthrea\nsher\n!http\n@5\n\n+eau\nment\nqueau\n\n+ñ"
 

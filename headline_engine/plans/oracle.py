@@ -476,3 +476,142 @@ FROM (SELECT crawl_id, row_number() OVER (PARTITION BY crawl_id ORDER BY s.weigh
 JOIN totals t USING (crawl_id)
 GROUP BY g.crawl_id""",
 })
+
+CJKCLS = r"[\x{4e00}-\x{9fa5}]"
+NOTEOL = r"[^\n\r\x{2028}\x{2029}]"
+
+
+def eng(x: str) -> str:
+    return f"(NOT regexp_matches({x}, '{CJKCLS}') AND regexp_matches({x}, '[a-zA-Z]'))"
+
+
+def unwrap(x: str) -> str:
+    return (f"(CASE WHEN starts_with({x}, '\"') AND ends_with({x}, '\"') "
+            f"THEN substr({x}, 2, greatest(length({x}) - 2, 0)) ELSE {x} END)")
+
+
+def strip_md(x: str) -> str:
+    x = f"regexp_replace({x}, '\\*\\*({NOTEOL}*?)\\*\\*', '\\1', 'g')"
+    x = f"regexp_replace({x}, '\\*({NOTEOL}*?)\\*', '\\1', 'g')"
+    x = f"regexp_replace({x}, '\\[({NOTEOL}*?)\\]\\({NOTEOL}*?\\)', '\\1', 'g')"
+    x = f"regexp_replace({x}, '`({NOTEOL}*?)`', '\\1', 'g')"
+    x = f"regexp_replace({x}, '#{{1,6}}{WS}', '', 'g')"
+    return x
+
+
+LANG = f"""
+cache AS (
+  SELECT sha256({trimjs('text')}) AS text_hash, '"' || upper({trimjs('text')}) || '"' AS translated,
+         TIMESTAMP '2024-01-01 00:00:00' + item_id * INTERVAL 1 DAY AS written_ts
+  FROM benchmark),
+ci AS (
+  SELECT crawl_id, crawl_ts, group_key, rank_in_group, title,
+         CASE WHEN {eng('title')} THEN sha256(title) END AS text_hash
+  FROM capped),
+live AS (
+  SELECT k.crawl_id, k.text_hash, arg_max(c.translated, c.written_ts) AS translated
+  FROM (SELECT DISTINCT crawl_id, crawl_ts, text_hash FROM ci WHERE text_hash IS NOT NULL) k
+  JOIN cache c ON c.text_hash = k.text_hash AND c.written_ts <= k.crawl_ts AND c.written_ts > k.crawl_ts - INTERVAL 30 DAY
+  GROUP BY k.crawl_id, k.text_hash)
+"""
+
+TL = f"""
+tl AS (SELECT event_id, ts, event_type AS module, floor(value)::BIGINT AS total_tokens,
+              strftime({local('ts')}, '%Y%m%d') AS day FROM events),
+pl AS (SELECT event_id, ts AS push_ts, event_type AS report_type, strftime({local('ts')}, '%Y%m%d') AS day
+       FROM events WHERE event_type = 'purchase')
+"""
+
+
+def pack_rec(name: str, src: str, keys: str, limit: str) -> str:
+    """Recursive CTE packing `body` of `src` into parts (state: current part, finished parts)."""
+    test = "(r.cur || CASE WHEN r.cur <> '' THEN chr(10) ELSE '' END || r.lines[r.i + 1])"
+    return f"""
+{name}_rec AS (
+  SELECT {keys}, {limit} AS lim, string_split(body, chr(10)) AS lines, 0 AS i, ''::VARCHAR AS cur, []::VARCHAR[] AS done
+  FROM {src} WHERE strlen(body) > {limit}
+  UNION ALL
+  SELECT {', '.join('r.' + k.strip() for k in keys.split(','))}, r.lim, r.lines, r.i + 1,
+         CASE WHEN strlen({test}) > r.lim AND r.cur <> '' THEN r.lines[r.i + 1] ELSE {test} END,
+         CASE WHEN strlen({test}) > r.lim AND r.cur <> '' THEN list_append(r.done, r.cur) ELSE r.done END
+  FROM {name}_rec r WHERE r.i < len(r.lines)),
+{name}_parts AS (
+  SELECT {keys}, CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END AS ps
+  FROM {name}_rec WHERE i = len(lines)
+  UNION ALL
+  SELECT {keys}, [body] AS ps FROM {src} WHERE strlen(body) <= {limit})
+"""
+
+
+CALSQL = ("cal AS (SELECT d::DATE AS day, s AS status FROM (VALUES ('2024-01-01', '1'), ('2024-01-06', '2'), "
+          "('2024-01-08', '1'), ('2024-01-20', '2'), ('2024-01-22', '1')) v(d, s))")
+
+SQL.update({
+    "english_titles": H + f"""
+SELECT title, {eng('title')} AS is_english FROM (SELECT DISTINCT title FROM heads)""",
+    "translate_lookup": with_ctes(BASE, RULES, MATCH, LANG) + f"""
+SELECT ci.crawl_id, ci.group_key, ci.rank_in_group::BIGINT AS rank_in_group, ci.title,
+       live.translated IS NOT NULL AS hit,
+       CASE WHEN coalesce({unwrap('live.translated')}, '') <> '' THEN {unwrap('live.translated')} ELSE ci.title END AS display_title
+FROM ci LEFT JOIN live ON live.crawl_id = ci.crawl_id AND live.text_hash = ci.text_hash""",
+    "translation_backlog": with_ctes(BASE, RULES, MATCH, LANG) + """
+SELECT DISTINCT ci.crawl_id, ci.title, ci.text_hash FROM ci
+WHERE ci.text_hash IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM live WHERE live.crawl_id = ci.crawl_id AND live.text_hash = ci.text_hash)""",
+    "token_daily": with_ctes(TL) + """
+SELECT day, sum(coalesce(total_tokens, 0))::BIGINT AS total_tokens, count(*) AS records,
+       array_to_string(list_sort(list_distinct(list(module))), ',') AS modules
+FROM tl GROUP BY day""",
+    "token_total": with_ctes(TL) + """,
+d AS (SELECT day, sum(coalesce(total_tokens, 0)) AS t FROM tl GROUP BY day)
+SELECT coalesce(sum(t), 0)::BIGINT AS total_tokens, count(*) AS days FROM d
+WHERE strptime(day, '%Y%m%d')::DATE <= (SELECT max(strptime(day, '%Y%m%d'))::DATE FROM tl)
+  AND strptime(day, '%Y%m%d')::DATE > (SELECT max(strptime(day, '%Y%m%d'))::DATE FROM tl) - INTERVAL 7 DAY""",
+    "push_daily": with_ctes(TL) + """
+SELECT day, strftime(push_ts, '%Y-%m-%d %H:%M:%S') AS push_ts, report_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY day ORDER BY push_ts DESC, event_id DESC) AS rn FROM pl)
+WHERE rn = 1
+  AND strptime(day, '%Y%m%d')::DATE <= (SELECT max(strptime(day, '%Y%m%d'))::DATE FROM pl)
+  AND strptime(day, '%Y%m%d')::DATE > (SELECT max(strptime(day, '%Y%m%d'))::DATE FROM pl) - INTERVAL 7 DAY""",
+    "schedule_gate": with_ctes(CALSQL) + f""",
+e AS (SELECT event_id, hour({local('ts')}) AS local_hour, {local('ts')}::DATE AS day FROM events),
+f AS (SELECT e.event_id, e.local_hour,
+             CASE WHEN c.status = '1' THEN true WHEN c.status = '2' THEN false
+                  ELSE dayofweek(e.day) IN (0, 6) END AS is_holiday
+      FROM e LEFT JOIN cal c USING (day))
+SELECT event_id, local_hour::BIGINT AS local_hour, is_holiday, (NOT is_holiday OR local_hour IN (10, 12, 16, 20)) AS run FROM f""",
+    "retention": with_ctes(TL) + """,
+a AS (SELECT max(ts) + INTERVAL 1 DAY AS as_of FROM events)
+SELECT 'token_log' AS log, count(*) AS kept_rows FROM tl WHERE ts > (SELECT as_of FROM a) - INTERVAL 30 DAY
+UNION ALL
+SELECT 'push_log' AS log, count(*) AS kept_rows FROM pl WHERE push_ts > (SELECT as_of FROM a) - INTERVAL 7 DAY""",
+    "strip_markdown": H + f"""
+SELECT crawl_id, platform_id, rank, {strip_md('title')} AS stripped FROM valid WHERE regexp_matches(title, '[*#`]')""",
+    "pack_messages": with_ctes("rt AS (SELECT conv_id, turn, text AS body FROM conversations)",
+                               pack_rec("pk", "rt", "conv_id, turn", "200"), recursive=True) + """
+SELECT conv_id, turn, (i + 1)::BIGINT AS part, len(ps)::BIGINT AS parts,
+       CASE WHEN len(ps) > 1 THEN ps[i + 1] || chr(10) || chr(10) || '第 ' || (i + 1) || '/' || len(ps) || ' 部分' ELSE ps[i + 1] END AS body
+FROM (SELECT conv_id, turn, ps, unnest(range(0, len(ps))) AS i FROM pk_parts)""",
+    "channel_messages": with_ctes(
+        "ch AS (SELECT * FROM (VALUES ('feishu', 30000, true), ('dingtalk', 20000, false), ('wework', 4000, false), "
+        "('telegram', 4000, false)) v(channel, lim, rule))",
+        "rt AS (SELECT conv_id, turn, channel, lim, rule, text AS body FROM conversations, ch)",
+        pack_rec("cm", "rt", "conv_id, turn, channel", "lim"), recursive=True) + """
+SELECT p.conv_id, p.turn, p.channel, (i + 1)::BIGINT AS part, len(ps)::BIGINT AS parts,
+       CASE WHEN len(ps) > 1 THEN ps[i + 1] || chr(10) || chr(10) ||
+            CASE WHEN p.channel = 'feishu' THEN '━━━━━━━━━━━━━━━━━━━' || chr(10) ELSE '' END ||
+            '第 ' || (i + 1) || '/' || len(ps) || ' 部分' ELSE ps[i + 1] END AS body
+FROM (SELECT conv_id, turn, channel, ps, unnest(range(0, len(ps))) AS i FROM cm_parts) p""",
+    "page_lines": f"""
+WITH pg AS (
+  SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1) AS platform_id,
+         {trimjs("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title
+  FROM pages),
+rk AS (SELECT *, row_number() OVER (PARTITION BY platform_id ORDER BY page_id) AS rank FROM pg),
+hc AS (SELECT platform_id, title, min(rank) AS first_rank, arg_min(url, rank) AS url FROM rk GROUP BY platform_id, title)
+SELECT platform_id, first_rank::BIGINT AS first_rank,
+       CASE WHEN coalesce(url, '') <> '' THEN first_rank || '. [' || title || '](' || url || ') - ' || platform_id
+            ELSE first_rank || '. ' || title || ' - ' || platform_id END AS line,
+       {esc('title')} AS title_html, {esc('url')} AS url_html
+FROM hc WHERE title <> ''""",
+})

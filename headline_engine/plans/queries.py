@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from headline_engine.config import DRIVER_CONFIG, EngineConfig
+from headline_engine.config import DRIVER_CALENDAR, DRIVER_CONFIG, EngineConfig
 from headline_engine.functions.timefmt import ts_text
 from headline_engine.functions.text import title_key, tokens
-from headline_engine.operators import dedup, feed, match, novelty as nov, report, review, simjoin
+from headline_engine.operators import dedup, feed, language, logs, match, messages, novelty as nov, report, review, simjoin
+from headline_engine.functions.text import escape_html, is_english, report_line, strip_markdown
+from headline_engine.functions.timefmt import day_key
 from headline_engine.sources import adapters as A
 from headline_engine.sources.rules import group_caps, load_rules
 
@@ -403,6 +405,113 @@ def q_text_report(spark, sf_dir):
     return t.select("crawl_id", F.col("items").cast("bigint").alias("items"), "body")
 
 
+# ---------------------------------------------------------------- step 5: language
+
+def q_english_titles(spark, sf_dir):
+    """P20: distinct titles with the English flag."""
+    h = headlines(spark, sf_dir).select("title").distinct()
+    return h.select("title", is_english("title").alias("is_english"))
+
+
+def q_translate_lookup(spark, sf_dir):
+    """Report items with their live cached translation, else the title."""
+    c = capped(spark, sf_dir).select("crawl_id", "crawl_ts", "group_key", "rank_in_group", "title")
+    t = language.translate(c, A.benchmark_translations(spark, sf_dir), CFG)
+    return t.select("crawl_id", "group_key", F.col("rank_in_group").cast("bigint").alias("rank_in_group"),
+                    "title", "hit", "display_title")
+
+
+def q_translation_backlog(spark, sf_dir):
+    """English report titles with no live cache row at their crawl."""
+    c = capped(spark, sf_dir).select("crawl_id", "crawl_ts", "title")
+    b = language.backlog(c, A.benchmark_translations(spark, sf_dir), CFG)
+    return b.select("crawl_id", "title", "text_hash")
+
+
+# ---------------------------------------------------------------- step 6: logs and calendar
+
+def _token_log(spark, sf_dir):
+    return A.events_token_log(spark, sf_dir)
+
+
+def _latest_day(df, ts):
+    return df.agg(F.max(day_key(ts, CFG.local_tz))).first()[0]
+
+
+def q_token_daily(spark, sf_dir):
+    """Per UTC+8 day token totals, records and modules."""
+    return logs.token_daily(_token_log(spark, sf_dir), CFG).select(
+        "day", F.col("total_tokens").cast("bigint").alias("total_tokens"), "records", "modules")
+
+
+def q_token_total(spark, sf_dir):
+    """A5: grand total over the 7 days ending at the latest logged day."""
+    tl = _token_log(spark, sf_dir)
+    d = logs.last_days(logs.token_daily(tl, CFG), _latest_day(tl, "ts"), 7)
+    return d.agg(F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("bigint").alias("total_tokens"),
+                 F.count(F.lit(1)).alias("days"))
+
+
+def q_push_daily(spark, sf_dir):
+    """Last push per UTC+8 day over the 7 days ending at the latest push day."""
+    pl = A.events_push_log(spark, sf_dir)
+    d = logs.last_days(logs.push_daily(pl, CFG), _latest_day(pl, "push_ts"), 7)
+    return d.select("day", ts_text("push_ts").alias("push_ts"), "report_type")
+
+
+def q_schedule_gate(spark, sf_dir):
+    """Would a scheduled crawl at each event time run."""
+    ev = A.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    g = logs.schedule_gate(ev, A.calendar(spark, DRIVER_CALENDAR), "ts", CFG)
+    return g.select("event_id", F.col("local_hour").cast("bigint").alias("local_hour"), "is_holiday", "run")
+
+
+def q_retention(spark, sf_dir):
+    """Rows kept per log table as of one day after the last event."""
+    tl = _token_log(spark, sf_dir)
+    pl = A.events_push_log(spark, sf_dir)
+    last = tl.agg(F.max("ts")).first()[0]
+    as_of = F.lit(last).cast("timestamp") + F.expr("INTERVAL 1 DAY")
+    a = logs.prune(tl, "ts", CFG.retention_days["token_log"], as_of).agg(F.count(F.lit(1)).alias("kept_rows")).withColumn("log", F.lit("token_log"))
+    b = logs.prune(pl, "push_ts", CFG.retention_days["push_log"], as_of).agg(F.count(F.lit(1)).alias("kept_rows")).withColumn("log", F.lit("push_log"))
+    return a.unionByName(b).select("log", "kept_rows")
+
+
+# ---------------------------------------------------------------- step 7: text out
+
+def q_strip_markdown(spark, sf_dir):
+    """Document lines holding markdown marks, stripped."""
+    items = feed.explode_feed(snapshots(spark, sf_dir)).where(F.col("title").rlike("[*#`]"))
+    return items.select("crawl_id", "platform_id", "rank", strip_markdown("title").alias("stripped"))
+
+
+def q_pack_messages(spark, sf_dir):
+    """Conversation turns packed into parts of at most 200 bytes (+ footer)."""
+    rt = A.conversations_report_text(spark, sf_dir)
+    p = messages.parts(rt, "body", 200, ["conv_id", "turn"])
+    return p.select("conv_id", "turn", F.col("part").cast("bigint").alias("part"),
+                    F.col("parts").cast("bigint").alias("parts"), "body")
+
+
+def q_channel_messages(spark, sf_dir):
+    """Conversation turns per channel at the channels' own limits and footers."""
+    rt = A.conversations_report_text(spark, sf_dir)
+    p = messages.channel_messages(rt, "body", ["conv_id", "turn"], CFG)
+    return p.select("conv_id", "turn", "channel", F.col("part").cast("bigint").alias("part"),
+                    F.col("parts").cast("bigint").alias("parts"), "body")
+
+
+def q_page_lines(spark, sf_dir):
+    """P3, P26, P28 over `pages`: titled feed per host with urls, report lines and escaped titles."""
+    h = feed.collapse_rows(A.pages_feed(spark, sf_dir), CFG)
+    h = h.where(F.col("title") != "")
+    return h.select(
+        "platform_id", F.col("first_rank").cast("bigint").alias("first_rank"),
+        report_line("first_rank", "title", "url", "platform_id").alias("line"),
+        escape_html("title").alias("title_html"), escape_html("url").alias("url_html"),
+    )
+
+
 QUERIES = {
     "feed_explode": q_feed_explode,
     "rank_collapse": q_rank_collapse,
@@ -434,4 +543,16 @@ QUERIES = {
     "triage_context": q_triage_context,
     "apply_verdicts": q_apply_verdicts,
     "text_report": q_text_report,
+    "english_titles": q_english_titles,
+    "translate_lookup": q_translate_lookup,
+    "translation_backlog": q_translation_backlog,
+    "token_daily": q_token_daily,
+    "token_total": q_token_total,
+    "push_daily": q_push_daily,
+    "schedule_gate": q_schedule_gate,
+    "retention": q_retention,
+    "strip_markdown": q_strip_markdown,
+    "pack_messages": q_pack_messages,
+    "channel_messages": q_channel_messages,
+    "page_lines": q_page_lines,
 }

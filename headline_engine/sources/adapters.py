@@ -87,8 +87,11 @@ def pages_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id",
         "url",
         F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1).alias("platform_id"),
-        F.regexp_extract(F.col("html"), r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"),
+        F.regexp_extract(F.col("html"), r"(?is)<title[^>]*>(.*?)</title>", 1).alias("raw_title"),
     )
+    from headline_engine.functions.text import clean_title
+
+    pages = pages.withColumn("title", clean_title("raw_title")).drop("raw_title")
     ords = ordinal_within(pages, "platform_id", "page_id")
     return pages.join(ords, ["platform_id", "page_id"]).select(
         F.lit(1).cast("bigint").alias("crawl_id"),
@@ -122,7 +125,25 @@ def events_push_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversations_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIXTURES §2.3: each conversation turn is one report body."""
     cv = table(spark, sf_dir, "conversations")
-    return cv.select(
-        (F.col("conv_id") * F.lit(1000) + F.col("turn")).cast("bigint").alias("crawl_id"),
-        F.col("text").alias("body"),
+    return cv.select("conv_id", "turn", F.col("text").alias("body"))
+
+
+def benchmark_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translation cache stand-in: one row per benchmark passage (passages also occur as
+    document lines, so some headlines hit it). The cached value is the quoted upper-cased
+    passage, written item_id days after the crawl epoch."""
+    from headline_engine.functions.text import clean_title
+
+    b = table(spark, sf_dir, "benchmark")
+    t = clean_title("text")
+    return b.select(
+        F.sha2(t, 256).alias("text_hash"),
+        F.concat(F.lit('"'), F.upper(t), F.lit('"')).alias("translated"),
+        F.timestamp_seconds(F.lit(CRAWL_EPOCH_SECONDS) + F.col("item_id") * F.lit(86400)).alias("written_ts"),
     )
+
+
+def calendar(spark: SparkSession, rows) -> DataFrame:
+    """M10 calendar dimension from (day, status) pairs."""
+    return spark.createDataFrame([(d, s) for d, s in rows], "day string, status string").select(
+        F.to_date("day").alias("day"), "status")
