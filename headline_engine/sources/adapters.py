@@ -65,7 +65,10 @@ def documents_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIXTURES §2.1: crawl_id = row number per source by doc_id, 12 h apart from 2024-01-01."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     ords = ordinal_within(docs, "source", "doc_id")
-    return docs.join(ords, ["source", "doc_id"]).select(
+    # The id map has one row per document: at scale it is never broadcast, so the
+    # documents are hash-partitioned by (source, doc_id); the hint keeps that plan
+    # at every size and spreads the per-response work over the shuffle partitions.
+    return docs.join(ords.hint("shuffle_hash"), ["source", "doc_id"]).select(
         F.col("ordinal").alias("crawl_id"),
         crawl_ts_of("ordinal").alias("crawl_ts"),
         F.col("source").alias("platform_id"),
