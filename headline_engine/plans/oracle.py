@@ -615,3 +615,10 @@ SELECT platform_id, first_rank::BIGINT AS first_rank,
        {esc('title')} AS title_html, {esc('url')} AS url_html
 FROM hc WHERE title <> ''""",
 })
+
+SQL.update({
+    "stream_novelty": RC + """
+SELECT title_key, crawl_id, is_new FROM cnl""",
+    "stream_token_daily": with_ctes(TL) + """
+SELECT day, sum(coalesce(total_tokens, 0))::BIGINT AS total_tokens, count(*) AS records FROM tl GROUP BY day""",
+})

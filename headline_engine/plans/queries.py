@@ -512,6 +512,36 @@ def q_page_lines(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------- step 8: streaming
+
+def q_stream_novelty(spark, sf_dir):
+    """ST1, ST2, ST5: the archive replayed as a file stream in crawl order; per micro-batch
+    report items and their novelty against the streaming history table (= batch W3)."""
+    from headline_engine.streaming import stream
+
+    base = stream.scratch_dir(spark, "crawl-stream")
+    stream.stage_snapshot_files(snapshots(spark, sf_dir), f"{base}/src", batches=3)
+    stream.run_crawl_stream(spark, f"{base}/src", f"{base}/out", platforms(spark, sf_dir), CFG)
+    return spark.read.parquet(f"{base}/out/novelty").select("title_key", "crawl_id", "is_new")
+
+
+def q_stream_token_daily(spark, sf_dir):
+    """ST4: daily UTC+8 token totals computed by a streaming window aggregation."""
+    from headline_engine.streaming import stream
+
+    base = stream.scratch_dir(spark, "token-stream")
+    tl = _token_log(spark, sf_dir).select("ts", "module", "model", "total_tokens")
+    lo, hi = tl.agg(F.min("ts"), F.max("ts")).first()
+    if lo is not None:
+        step = (hi - lo) / 3
+        for i in range(3):
+            a, b = lo + step * i, (lo + step * (i + 1) if i < 2 else hi)
+            part = tl.where((F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(b)) if i < 2 else (F.col("ts") <= F.lit(b))))
+            part.write.mode("append").parquet(f"{base}/src")
+    stream.token_window_stream(spark, f"{base}/src", f"{base}/out", CFG)
+    return spark.read.parquet(f"{base}/out/token_daily").select("day", F.col("total_tokens").cast("bigint").alias("total_tokens"), "records")
+
+
 QUERIES = {
     "feed_explode": q_feed_explode,
     "rank_collapse": q_rank_collapse,
@@ -555,4 +585,6 @@ QUERIES = {
     "pack_messages": q_pack_messages,
     "channel_messages": q_channel_messages,
     "page_lines": q_page_lines,
+    "stream_novelty": q_stream_novelty,
+    "stream_token_daily": q_stream_token_daily,
 }
