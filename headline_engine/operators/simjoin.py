@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headline_engine.config import EngineConfig
-from headline_engine.functions.similarity import hybrid_sim, jaccard, length_ok, min_jaccard, prefix_len, size_ok
+from headline_engine.functions.similarity import (
+    hybrid_sim, jaccard, length_ok, min_jaccard, position_ok, prefix_len, size_ok,
+)
 from headline_engine.functions.text import title_key, tokens
 from headline_engine.session import ensure_checkpoint_dir
 
@@ -47,7 +49,7 @@ def token_order(u: DataFrame) -> DataFrame:
 
 
 def prefixes(u: DataFrame, scope: list[str], t: float, order: DataFrame) -> DataFrame:
-    """(scope..., uid, n_tok, key_len, tok) for the prefix tokens of every unit.
+    """(scope..., uid, n_tok, key_len, tok, pos) for the prefix tokens of every unit.
 
     The rank of a token inside its title comes from a window over that unit's
     own tokens (bounded by one title), after joining the token frequencies.
@@ -55,15 +57,17 @@ def prefixes(u: DataFrame, scope: list[str], t: float, order: DataFrame) -> Data
     ex = u.select(*scope, "uid", "n_tok", "key_len", F.explode("toks").alias("tok"))
     ex = ex.join(order, "tok")
     w = Window.partitionBy("uid").orderBy("df", "tok")
-    return ex.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= prefix_len("n_tok", t)).drop("_r", "df")
+    return ex.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= prefix_len("n_tok", t)).drop("df")
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, join_keys: list[str], t: float, cfg: EngineConfig,
                     self_join: bool, guard_length: bool = True) -> DataFrame:
     """Distinct (join_keys minus tok..., uid_a, uid_b) sharing a prefix token within the size/length bounds."""
-    a = left.select(*join_keys, F.col("uid").alias("uid_a"), F.col("n_tok").alias("na"), F.col("key_len").alias("la"))
-    b = right.select(*join_keys, F.col("uid").alias("uid_b"), F.col("n_tok").alias("nb"), F.col("key_len").alias("lb"))
-    cond = size_ok("na", "nb", t)
+    a = left.select(*join_keys, F.col("uid").alias("uid_a"), F.col("n_tok").alias("na"), F.col("key_len").alias("la"),
+                    F.col("pos").alias("pa"))
+    b = right.select(*join_keys, F.col("uid").alias("uid_b"), F.col("n_tok").alias("nb"), F.col("key_len").alias("lb"),
+                     F.col("pos").alias("pb"))
+    cond = size_ok("na", "nb", t) & position_ok("pa", "na", "pb", "nb", t)
     if guard_length:
         cond = cond & length_ok("la", "lb", cfg)
     if self_join:
@@ -133,10 +137,13 @@ def near_dup_vs_history(items: DataFrame, history: DataFrame, cfg: EngineConfig
     ip = prefixes(iu, ["crawl_id", "crawl_ts"], t, order).withColumn("wk", _week("crawl_ts", days))
     hp = prefixes(hu, ["h_ts"], t, order)
     hp = hp.withColumn("wk", F.explode(F.array(_week("h_ts", days), _week("h_ts", days) + 1)))
-    a = ip.select("crawl_ts", "wk", "tok", F.col("uid").alias("uid_a"), F.col("n_tok").alias("na"), F.col("key_len").alias("la"))
-    b = hp.select("wk", "tok", "h_ts", F.col("uid").alias("uid_b"), F.col("n_tok").alias("nb"), F.col("key_len").alias("lb"))
+    a = ip.select("crawl_ts", "wk", "tok", F.col("uid").alias("uid_a"), F.col("n_tok").alias("na"), F.col("key_len").alias("la"),
+                  F.col("pos").alias("pa"))
+    b = hp.select("wk", "tok", "h_ts", F.col("uid").alias("uid_b"), F.col("n_tok").alias("nb"), F.col("key_len").alias("lb"),
+                  F.col("pos").alias("pb"))
     lo = F.col("crawl_ts") - F.make_interval(days=F.lit(days))
-    cond = size_ok("na", "nb", t) & length_ok("la", "lb", cfg) & (F.col("h_ts") > lo) & (F.col("h_ts") < F.col("crawl_ts"))
+    cond = (size_ok("na", "nb", t) & position_ok("pa", "na", "pb", "nb", t) & length_ok("la", "lb", cfg)
+            & (F.col("h_ts") > lo) & (F.col("h_ts") < F.col("crawl_ts")))
     pairs = a.join(b, ["wk", "tok"]).where(cond).select("uid_a", "uid_b").distinct()
     v = attach(pairs, iu, hu)
     sim = hybrid_sim("key_a", "key_b", "tok_a", "tok_b", "la", "lb", cfg)
