@@ -6,10 +6,10 @@ write per crawl this equals: the previous sighting of the key is absent or at
 least 7 days earlier.
 
 Skew: a key may be hot (every title without Latin/CJK characters has the empty
-key). Windows are therefore partitioned by (key, 7-day bucket): inside a bucket
-the previous sighting comes from `lag`; the first sighting of a bucket looks up
-the last sighting of the previous bucket (anything older is >= 7 d away). A
-(key, bucket) holds at most the crawls of one week, whatever the key's total.
+key). Windows are therefore partitioned by (key, 7-day bucket), with every
+sighting also copied into the next bucket, so `lag` finds the previous sighting
+of the same or the previous week (anything older is >= 7 d away). A (key,
+bucket) holds at most two weeks of crawls, whatever the key's total.
 """
 
 from __future__ import annotations
@@ -26,17 +26,21 @@ def _secs(col):
 
 def previous_sighting(sightings: DataFrame, key: str, ts: str, window_days: int) -> DataFrame:
     """Add `prev_ts`: the latest earlier sighting of `key` if it lies within
-    `window_days` (else null). Input rows must be distinct (key, ts)."""
+    `window_days` (else null). Input rows must be distinct (key, ts).
+
+    Every sighting is also copied into the next window-wide bucket, so one lag
+    over (key, bucket) sees the previous bucket's sightings before the bucket's
+    own; older sightings are at least a window away. One shuffle, no join, and
+    a (key, bucket) holds at most two windows of one key's sightings.
+    """
     width = window_days * 86400
     b = F.floor(_secs(ts) / F.lit(width)).cast("bigint")
-    df = sightings.withColumn("_b", b)
+    df = sightings.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_b", b + F.col("_copy"))
     w = Window.partitionBy(key, "_b").orderBy(ts)
-    df = df.withColumn("_lag", F.lag(ts).over(w))
-    last = df.groupBy(key, "_b").agg(F.max(ts).alias("_prev_last")).withColumn("_b", F.col("_b") + 1)
-    df = df.join(last, [key, "_b"], "left")
-    prev = F.coalesce(F.col("_lag"), F.col("_prev_last"))
+    df = df.withColumn("_lag", F.lag(ts).over(w)).where(F.col("_copy") == 0)
+    prev = F.col("_lag")
     within = (_secs(ts) - F.unix_micros(prev.cast("timestamp")) / F.lit(1_000_000)) < F.lit(width)
-    return df.withColumn("prev_ts", F.when(prev.isNotNull() & within, prev)).drop("_b", "_lag", "_prev_last")
+    return df.withColumn("prev_ts", F.when(prev.isNotNull() & within, prev)).drop("_b", "_lag", "_copy")
 
 
 def novelty(items: DataFrame, key: str = "title_key", ts: str = "crawl_ts",
