@@ -501,13 +501,14 @@ def strip_md(x: str) -> str:
 
 LANG = f"""
 cache AS (
-  SELECT sha256({trimjs('text')}) AS text_hash, '"' || upper({trimjs('text')}) || '"' AS translated,
-         TIMESTAMP '2024-01-01 00:00:00' + item_id * INTERVAL 1 DAY AS written_ts
-  FROM benchmark),
+  SELECT sha256({trimjs('line')}) AS text_hash, '"' || upper({trimjs('line')}) || '"' AS translated,
+         TIMESTAMP '2024-01-01 00:00:00' - item_id * INTERVAL 1 HOUR AS written_ts
+  FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark)
+  WHERE {trimjs('line')} <> ''),
 ci AS (
-  SELECT crawl_id, crawl_ts, group_key, rank_in_group, title,
+  SELECT crawl_id, crawl_ts, platform_id, title,
          CASE WHEN {eng('title')} THEN sha256(title) END AS text_hash
-  FROM capped),
+  FROM heads),
 live AS (
   SELECT k.crawl_id, k.text_hash, arg_max(c.translated, c.written_ts) AS translated
   FROM (SELECT DISTINCT crawl_id, crawl_ts, text_hash FROM ci WHERE text_hash IS NOT NULL) k
@@ -549,12 +550,12 @@ CALSQL = ("cal AS (SELECT d::DATE AS day, s AS status FROM (VALUES ('2024-01-01'
 SQL.update({
     "english_titles": H + f"""
 SELECT title, {eng('title')} AS is_english FROM (SELECT DISTINCT title FROM heads)""",
-    "translate_lookup": with_ctes(BASE, RULES, MATCH, LANG) + f"""
-SELECT ci.crawl_id, ci.group_key, ci.rank_in_group::BIGINT AS rank_in_group, ci.title,
+    "translate_lookup": with_ctes(BASE, LANG) + f"""
+SELECT ci.crawl_id, ci.platform_id, ci.title,
        live.translated IS NOT NULL AS hit,
        CASE WHEN coalesce({unwrap('live.translated')}, '') <> '' THEN {unwrap('live.translated')} ELSE ci.title END AS display_title
 FROM ci LEFT JOIN live ON live.crawl_id = ci.crawl_id AND live.text_hash = ci.text_hash""",
-    "translation_backlog": with_ctes(BASE, RULES, MATCH, LANG) + """
+    "translation_backlog": with_ctes(BASE, LANG) + """
 SELECT DISTINCT ci.crawl_id, ci.title, ci.text_hash FROM ci
 WHERE ci.text_hash IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM live WHERE live.crawl_id = ci.crawl_id AND live.text_hash = ci.text_hash)""",

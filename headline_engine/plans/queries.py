@@ -414,16 +414,15 @@ def q_english_titles(spark, sf_dir):
 
 
 def q_translate_lookup(spark, sf_dir):
-    """Report items with their live cached translation, else the title."""
-    c = capped(spark, sf_dir).select("crawl_id", "crawl_ts", "group_key", "rank_in_group", "title")
+    """Every headline with its live cached translation, else the title."""
+    c = headlines(spark, sf_dir).select("crawl_id", "crawl_ts", "platform_id", "title")
     t = language.translate(c, A.benchmark_translations(spark, sf_dir), CFG)
-    return t.select("crawl_id", "group_key", F.col("rank_in_group").cast("bigint").alias("rank_in_group"),
-                    "title", "hit", "display_title")
+    return t.select("crawl_id", "platform_id", "title", "hit", "display_title")
 
 
 def q_translation_backlog(spark, sf_dir):
-    """English report titles with no live cache row at their crawl."""
-    c = capped(spark, sf_dir).select("crawl_id", "crawl_ts", "title")
+    """English headlines with no live cache row at their crawl."""
+    c = headlines(spark, sf_dir).select("crawl_id", "crawl_ts", "title")
     b = language.backlog(c, A.benchmark_translations(spark, sf_dir), CFG)
     return b.select("crawl_id", "title", "text_hash")
 

@@ -132,17 +132,19 @@ def conversations_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Translation cache stand-in: one row per benchmark passage (passages also occur as
-    document lines, so some headlines hit it). The cached value is the quoted upper-cased
-    passage, written item_id days after the crawl epoch."""
+    """Translation cache stand-in: one row per line of a benchmark passage (passages also
+    occur as document lines, so some headlines hit it). The cached value is the quoted upper-cased
+    passage, written item_id hours before the crawl epoch (live for the first 30 days of
+    crawls, so the TTL is exercised too)."""
     from headline_engine.functions.text import clean_title
 
-    b = table(spark, sf_dir, "benchmark")
-    t = clean_title("text")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("line"))
+    t = clean_title("line")
+    b = b.where(t != "")
     return b.select(
         F.sha2(t, 256).alias("text_hash"),
         F.concat(F.lit('"'), F.upper(t), F.lit('"')).alias("translated"),
-        F.timestamp_seconds(F.lit(CRAWL_EPOCH_SECONDS) + F.col("item_id") * F.lit(86400)).alias("written_ts"),
+        F.timestamp_seconds(F.lit(CRAWL_EPOCH_SECONDS) - F.col("item_id") * F.lit(3600)).alias("written_ts"),
     )
 
 
