@@ -221,8 +221,8 @@ FROM capped GROUP BY crawl_id, group_key""",
 SELECT crawl_id, group_key, rank_in_group::BIGINT AS rank_in_group, {esc('source')} AS source_html,
        first_rank::BIGINT AS first_rank,
        CASE WHEN first_rank <= 3 THEN 'top' WHEN first_rank <= 10 THEN 'high' ELSE '' END AS rank_badge,
-       {esc('title')} AS title_html, {esc("''")} AS url_html
-FROM capped""",
+       {esc('title')} AS title_html, {esc("''")} AS url_html, is_new
+FROM cnew""",
     "report_latest_per_day": RC + """
 SELECT report_day, arg_max(crawl_id, crawl_ts) AS crawl_id, arg_max(total_news, crawl_ts) AS total_news,
        arg_max(hot_news, crawl_ts) AS hot_news, arg_max(generate_date, crawl_ts) AS generate_date,

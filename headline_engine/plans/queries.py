@@ -159,11 +159,12 @@ def q_group_summary(spark, sf_dir):
 
 
 def q_report_view(spark, sf_dir):
-    """Escaped report rows with rank badge."""
-    v = report.report_view(capped(spark, sf_dir))
+    """Escaped report rows with rank badge and the real W3 `is_new` flag."""
+    v = report.report_view(report_items_new(spark, sf_dir), extra=("is_new",))
     return v.select(
         "crawl_id", "group_key", F.col("rank_in_group").cast("bigint").alias("rank_in_group"),
         "source_html", F.col("first_rank").cast("bigint").alias("first_rank"), "rank_badge", "title_html", "url_html",
+        "is_new",
     )
 
 
