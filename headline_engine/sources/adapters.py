@@ -31,7 +31,9 @@ def ordinal_within(df: DataFrame, key: str, order: str, buckets: int | None = No
     """
     spark = df.sparkSession
     narrow = df.select(key, order)
-    nb = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Buckets only need to spread a hot key over enough tasks; the bucket is found by a
+    # scan of the bounds, so their number is capped rather than tied to the cluster size.
+    nb = buckets or min(256, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     bounds = sorted(set(narrow.approxQuantile(order, [i / nb for i in range(1, nb)], 0.01))) if nb > 1 else []
     bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
     narrow = narrow.withColumn("_b", bucket)
@@ -52,7 +54,8 @@ def crawl_ts_of(crawl_id) -> F.Column:
 
 
 def platforms_from_sources(df: DataFrame, col: str = "source") -> DataFrame:
-    """M1 from the distinct sources: platform_ord = order of the id as text; name = id."""
+    """M1 from the distinct sources: platform_ord = order of the id as text; name = id.
+    The ordering window runs over the distinct platforms only (a registry-sized dimension)."""
     distinct = df.select(F.col(col).alias("platform_id")).where(F.col("platform_id").isNotNull()).distinct()
     return distinct.select(
         F.row_number().over(Window.orderBy("platform_id")).cast("int").alias("platform_ord"),
