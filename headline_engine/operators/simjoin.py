@@ -111,7 +111,12 @@ def near_dup_edges(df: DataFrame, scope: list[str], cfg: EngineConfig = EngineCo
 def jaccard_pairs(df: DataFrame, scope: list[str], t: float, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """(scope..., title_a < title_b, jaccard) with Jaccard > t (tokens per cfg.token_mode)."""
     u = units(df, scope, cfg).where(F.col("n_tok") > 0)
-    p = prefixes(u, scope, t, token_order(u))
+    return jaccard_pairs_of_units(u, scope, t, cfg, token_order(u))
+
+
+def jaccard_pairs_of_units(u: DataFrame, scope: list[str], t: float, cfg: EngineConfig, order: DataFrame) -> DataFrame:
+    """jaccard_pairs over an existing unit table; any consistent token order keeps the filter exact."""
+    p = prefixes(u, scope, t, order)
     pairs = candidate_pairs(p, p, scope + ["tok"], t, cfg, self_join=True, guard_length=False)
     v = attach(pairs, u, u)
     e = v.withColumn("jaccard", jaccard("tok_a", "tok_b")).where(F.col("jaccard") > F.lit(t))
