@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headline_engine.llm import common, decontaminate, fingerprint, langid, linechunks, ngramjoin, packing, substrings, tokenfile, warc
+from headline_engine.llm import common, decontaminate, fingerprint, langid, linechunks, lmscore, ngramjoin, oracle, packing, substrings, tokenfile, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_neighbours(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lmscore.score(_documents(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), F.round("log10_per_word", 6).alias("log10_per_word"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_documents(spark, sf_dir, "doc_id", "text"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -57,7 +62,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.report(_documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op4_packing, op5_warc, op6_language,
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_lm_scores, op4_packing, op5_warc, op6_language,
                                    op7_token_files, op8_substring_dedup, op9_line_dedup, op10_ngram_join)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle.SQL

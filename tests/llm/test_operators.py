@@ -469,3 +469,34 @@ def test_contiguous_shards(spark):
     assert all(max(got[a]) < min(got[b]) for a, b in zip(order, order[1:]))
     assert all(len(v) <= 50 or len(set(v)) == 1 or len([x for x in v if x != 77]) <= 50 for v in got.values())
     assert set(order) <= set(range(s.n))
+
+
+# 3 ------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_scores(odd, odd_rows, none, order):
+    from headline_engine.llm import lmscore
+
+    docs = [alnum(t) for _, t in odd_rows]
+    total = Counter(tuple(w[a : a + n]) for w in docs for n in range(1, order + 1) for a in range(len(w) - n + 1))
+    words = sum(map(len, docs))
+    want = []
+    for (i, _), w in zip(odd_rows, docs):
+        own = Counter(tuple(w[a : a + n]) for n in range(1, order + 1) for a in range(len(w) - n + 1))
+        c = lambda g: total[g] - own[g]  # noqa: B023, E731
+        s = 0.0
+        for j in range(len(w)):
+            for n in range(min(order, j + 1), 1, -1):
+                g = tuple(w[j - n + 1 : j + 1])
+                if c(g) > 0:
+                    s += np.log10(c(g) / c(g[:-1]))
+                    break
+                s += np.log10(0.4)
+            else:
+                g = (w[j],)
+                s += np.log10(c(g) / (words - len(w))) if c(g) > 0 else np.log10(1 / (words - len(w) + 1))
+        want.append((i, len(w), round(float(s), 4)))
+    got = lmscore.score(odd, order=order, chunk_rows=10).collect()
+    assert Counter((r["doc_id"], r["n_words"], round(r["log10_score"], 4) + 0.0) for r in got) == Counter((i, n, s + 0.0) for i, n, s in want)
+    assert lmscore.score(none, order=order).count() == 0
