@@ -56,6 +56,10 @@ DRIVER_CALENDAR = (("2024-01-01", "1"), ("2024-01-06", "2"), ("2024-01-08", "1")
 DRIVER_RULES = "tion\nough\n@15\n\n+ein\nsch\nheit\nkeit\n\n+the\nthrea\nsher\n!http\n@5\n\n+eau\nment\nqueau\n\n+ñ"
 
 
+# Rules that apply when no rule text is stored (own text).
+DEFAULT_RULES = "ai\nmodel\n@15\n\nmarket\nbank\n\nclimate\nenergy\n\n+space\nlaunch\norbit"
+
+
 @dataclass(frozen=True)
 class EngineConfig:
     mode: str = DEFAULT_MODE

@@ -1,4 +1,4 @@
-"""UTC+8 calendar helpers (P23, P24). Session time zone must be UTC."""
+"""UTC+8 calendar helpers (P23, P24), right in any session time zone."""
 
 from __future__ import annotations
 
@@ -13,8 +13,13 @@ def _c(col) -> Column:
 
 
 def local_ts(col, tz: str = LOCAL_TZ) -> Column:
-    """Wall-clock time in ``tz`` of a UTC instant (TIMESTAMP or TIMESTAMP_NTZ read as UTC)."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(tz), _c(col).cast("timestamp_ntz"))
+    """Wall-clock time in ``tz`` of an instant. (A TIMESTAMP_NTZ column is session-local time; see from_utc_wall.)"""
+    return F.convert_timezone(F.current_timezone(), F.lit(tz), _c(col).cast("timestamp").cast("timestamp_ntz"))
+
+
+def from_utc_wall(col) -> Column:
+    """The instant of a TIMESTAMP_NTZ column that holds UTC wall-clock time."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), _c(col).cast("timestamp_ntz")).cast("timestamp")
 
 
 def day_key(col, tz: str = LOCAL_TZ) -> Column:
@@ -37,5 +42,5 @@ def fmt_time(col, tz: str = LOCAL_TZ) -> Column:
 
 
 def ts_text(col) -> Column:
-    """Stable text form of a timestamp for reports and oracle comparison."""
-    return F.date_format(_c(col).cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
+    """UTC text form of an instant for reports and oracle comparison."""
+    return F.date_format(local_ts(col, "UTC"), "yyyy-MM-dd HH:mm:ss")

@@ -9,10 +9,12 @@ join condition, and every candidate is verified with the exact similarity.
 For the hybrid near-duplicate similarity with threshold 0.8 and unequal keys,
 0.6J + 0.4L > 0.8 with L < 1 forces J > 2/3, so t = (thr - 0.4) / 0.6.
 
-Titles can be long (whole paragraphs), so every distinct title becomes a unit
-with a materialised integer id (checkpointed, hence stable on recompute); the
-token join and the pair dedup move only (scope, id, id) rows, and the titles,
-keys and token sets are attached to the surviving candidates only.
+Titles can be long (whole paragraphs), so every distinct (scope, title) becomes
+a unit with a deterministic 128-bit hash as id (nothing is written to hold it);
+the token join and the pair dedup move only hashes, and the titles, keys and
+token sets are attached to the surviving candidates only. Where equal keys are
+not wanted, the key's hash is part of the join condition, so a key that many
+titles share yields no candidate among them.
 """
 
 from __future__ import annotations
@@ -25,22 +27,21 @@ from headline_engine.functions.similarity import (
     hybrid_sim, jaccard, length_ok, min_jaccard, position_ok, prefix_len, size_ok,
 )
 from headline_engine.functions.text import title_key, tokens
-from headline_engine.session import ensure_checkpoint_dir
 
 
 def units(df: DataFrame, scope: list[str], cfg: EngineConfig, title: str = "title") -> DataFrame:
-    """Distinct (scope..., title) with key, token set, sizes and a stable integer `uid`."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Distinct (scope..., title) with key, key hash `kid`, token set, sizes and a deterministic 128-bit `uid`."""
     u = df.select(*scope, title).distinct()
     k = title_key(title)
-    u = (
+    ids = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (*scope, title)]
+    return (
         u.withColumn("title_key", k)
+        .withColumn("kid", F.xxhash64("title_key"))
         .withColumn("toks", tokens(title, "title_key", cfg.token_mode))
         .withColumn("n_tok", F.size("toks"))
         .withColumn("key_len", F.length("title_key"))
-        .withColumn("uid", F.monotonically_increasing_id())
+        .withColumn("uid", F.unhex(F.md5(F.concat_ws("\x01", *ids).cast("binary"))))
     )
-    return u.checkpoint(eager=True)
 
 
 def token_order(u: DataFrame) -> DataFrame:
@@ -54,24 +55,26 @@ def prefixes(u: DataFrame, scope: list[str], t: float, order: DataFrame) -> Data
     The rank of a token inside its title comes from a window over that unit's
     own tokens (bounded by one title), after joining the token frequencies.
     """
-    ex = u.select(*scope, "uid", "n_tok", "key_len", F.explode("toks").alias("tok"))
+    ex = u.select(*scope, "uid", "kid", "n_tok", "key_len", F.explode("toks").alias("tok"))
     ex = ex.join(order, "tok")
     w = Window.partitionBy("uid").orderBy("df", "tok")
     return ex.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= prefix_len("n_tok", t)).drop("df")
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, join_keys: list[str], t: float, cfg: EngineConfig,
-                    self_join: bool, guard_length: bool = True) -> DataFrame:
+                    self_join: bool, guard_length: bool = True, unequal_keys: bool = False) -> DataFrame:
     """Distinct (join_keys minus tok..., uid_a, uid_b) sharing a prefix token within the size/length bounds."""
-    a = left.select(*join_keys, F.col("uid").alias("uid_a"), F.col("n_tok").alias("na"), F.col("key_len").alias("la"),
+    a = left.select(*join_keys, F.col("kid").alias("ka"), F.col("uid").alias("uid_a"), F.col("n_tok").alias("na"), F.col("key_len").alias("la"),
                     F.col("pos").alias("pa"))
-    b = right.select(*join_keys, F.col("uid").alias("uid_b"), F.col("n_tok").alias("nb"), F.col("key_len").alias("lb"),
+    b = right.select(*join_keys, F.col("kid").alias("kb"), F.col("uid").alias("uid_b"), F.col("n_tok").alias("nb"), F.col("key_len").alias("lb"),
                      F.col("pos").alias("pb"))
     cond = size_ok("na", "nb", t) & position_ok("pa", "na", "pb", "nb", t)
     if guard_length:
         cond = cond & length_ok("la", "lb", cfg)
     if self_join:
         cond = cond & (F.col("uid_a") < F.col("uid_b"))
+    if unequal_keys:
+        cond = cond & (F.col("ka") != F.col("kb"))
     keep = [c for c in join_keys if c != "tok"]
     return a.join(b, join_keys).where(cond).select(*keep, "uid_a", "uid_b").distinct()
 
@@ -101,7 +104,7 @@ def near_dup_edges(df: DataFrame, scope: list[str], cfg: EngineConfig = EngineCo
     t = min_jaccard(cfg)
     u = units(df, scope, cfg).where(F.col("n_tok") > 0)
     p = prefixes(u, scope, t, token_order(u))
-    pairs = candidate_pairs(p, p, scope + ["tok"], t, cfg, self_join=True)
+    pairs = candidate_pairs(p, p, scope + ["tok"], t, cfg, self_join=True, unequal_keys=True)
     v = attach(pairs, u, u).where(F.col("key_a") != F.col("key_b"))
     sim = hybrid_sim("key_a", "key_b", "tok_a", "tok_b", "la", "lb", cfg)
     e = v.withColumn("sim", sim).where(F.col("sim") > F.lit(cfg.near_dup_threshold))
@@ -137,10 +140,12 @@ def near_dup_vs_history(items: DataFrame, history: DataFrame, cfg: EngineConfig
     t = min_jaccard(cfg)
     days = cfg.history_days
     iu = units(items, ["crawl_id", "crawl_ts"], cfg).where(F.col("n_tok") > 0)
-    hu = units(history.select(F.col("crawl_ts").alias("h_ts"), "title"), ["h_ts"], cfg).where(F.col("n_tok") > 0)
+    # A history title is tokenised and ranked once; its prefix rows go to the weeks in which it was seen.
+    seen = history.select(F.col("crawl_ts").alias("h_ts"), "title").distinct()
+    hu = units(seen, [], cfg).where(F.col("n_tok") > 0)
     order = token_order(iu.select("toks").unionByName(hu.select("toks")))
     ip = prefixes(iu, ["crawl_id", "crawl_ts"], t, order).withColumn("wk", _week("crawl_ts", days))
-    hp = prefixes(hu, ["h_ts"], t, order)
+    hp = prefixes(hu, [], t, order).join(seen.join(hu.select("title", "uid"), "title").select("uid", "h_ts"), "uid")
     hp = hp.withColumn("wk", F.explode(F.array(_week("h_ts", days), _week("h_ts", days) + 1)))
     a = ip.select("crawl_ts", "wk", "tok", F.col("uid").alias("uid_a"), F.col("n_tok").alias("na"), F.col("key_len").alias("la"),
                   F.col("pos").alias("pa"))

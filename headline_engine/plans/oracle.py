@@ -162,12 +162,14 @@ NREG = "(SELECT count(DISTINCT source) FROM documents WHERE source IS NOT NULL)"
 ASOF = "(SELECT TIMESTAMP '2024-01-01 00:00:00' + (max(crawl_id) - 1) * INTERVAL 12 HOUR + INTERVAL 1 HOUR FROM docs)"
 
 TOTALS = f"""
+reported AS (SELECT DISTINCT crawl_id, crawl_ts FROM (SELECT crawl_id, text, TIMESTAMP '2024-01-01 00:00:00' + (crawl_id - 1) * INTERVAL 12 HOUR AS crawl_ts FROM docs)
+             WHERE text IS NOT NULL),
 totals AS (
-  SELECT crawl_id, crawl_ts, count(*) AS total_news, count(*) FILTER (WHERE appearances >= 3) AS hot_news,
+  SELECT crawl_id, crawl_ts, count(title) AS total_news, count(*) FILTER (WHERE appearances >= 3) AS hot_news,
          strftime({local('crawl_ts')}, '%Y%m%d') AS report_day,
          strftime({local('crawl_ts')}, '%Y年%m月%d日') AS generate_date,
          strftime({local('crawl_ts')}, '%H时%M分') AS generate_time
-  FROM capped GROUP BY crawl_id, crawl_ts)
+  FROM reported LEFT JOIN capped USING (crawl_id, crawl_ts) GROUP BY crawl_id, crawl_ts)
 """
 
 NOVELTY_CAPPED = f"""
@@ -179,9 +181,9 @@ cnl AS (
   FROM (SELECT *, lag(crawl_ts) OVER (PARTITION BY title_key ORDER BY crawl_ts) AS lg FROM cn)),
 cnew AS (SELECT ck.*, cnl.is_new FROM ck JOIN cnl USING (title_key, crawl_id)),
 per AS (
-  SELECT crawl_id, crawl_ts, count(DISTINCT title) AS current_titles, count(*) FILTER (WHERE is_new) AS new_items,
+  SELECT r.crawl_id, r.crawl_ts, count(DISTINCT title) AS current_titles, count(*) FILTER (WHERE is_new) AS new_items,
          array_to_string((list(substr(title, 1, 30) || '...' ORDER BY key_ord, rank_in_group) FILTER (WHERE is_new))[1:3], ' | ') AS samples
-  FROM cnew GROUP BY crawl_id, crawl_ts),
+  FROM reported r LEFT JOIN cnew ON cnew.crawl_id = r.crawl_id GROUP BY r.crawl_id, r.crawl_ts),
 hist AS (SELECT DISTINCT title, crawl_ts FROM capped),
 hn AS (
   SELECT p.crawl_ts, count(DISTINCT h.title) AS n
@@ -351,44 +353,7 @@ cl AS (
          row_number() OVER (PARTITION BY crawl_id ORDER BY key_ord, rank_in_group) - 1 AS pos
   FROM dflag WHERE NOT hist_dup),
 clk AS (SELECT crawl_id, crawl_ts, pos, title, weight, source, title_key AS k, length(title_key) AS kl,
-               {toks('lower(title)')} AS tk FROM cl),
-hpc AS (
-  SELECT c.crawl_id, h.title, min({{'h_ts': h.crawl_ts, 'key_ord': h.key_ord, 'rank_in_group': h.rank_in_group}}) AS hpos
-  FROM (SELECT DISTINCT crawl_id, crawl_ts FROM cl) c
-  JOIN capped h ON h.crawl_ts > c.crawl_ts - INTERVAL 7 DAY AND h.crawl_ts < c.crawl_ts
-  GROUP BY c.crawl_id, h.title),
-hpk AS (SELECT crawl_id, title, hpos, {toks('lower(title)')} AS tk FROM hpc),
-ihp AS (
-  SELECT a.crawl_id, a.title AS title_a, b.title AS title_b, b.hpos
-  FROM clk a JOIN hpk b ON a.crawl_id = b.crawl_id
-  WHERE len(a.tk) > 0 AND len(b.tk) > 0 AND {jacc('a.tk', 'b.tk')} > 0.1::DOUBLE),
-inp AS (
-  SELECT a.crawl_id, a.title AS title_a, b.title AS title_b
-  FROM clk a JOIN clk b ON a.crawl_id = b.crawl_id AND a.title < b.title
-  WHERE len(a.tk) > 0 AND len(b.tk) > 0 AND {jacc('a.tk', 'b.tk')} > 0.1::DOUBLE),
-sus AS (
-  SELECT DISTINCT crawl_id, title FROM (
-    SELECT crawl_id, title_a AS title FROM ihp UNION ALL SELECT crawl_id, title_a FROM inp
-    UNION ALL SELECT crawl_id, title_b FROM inp)),
-flags AS (
-  SELECT cl.crawl_id, cl.pos, cl.title, cl.source, (sus.title IS NOT NULL) AS ambiguous
-  FROM cl LEFT JOIN sus USING (crawl_id, title)),
-flags2 AS (
-  SELECT *, CASE WHEN ambiguous THEN row_number() OVER (PARTITION BY crawl_id, ambiguous ORDER BY pos) - 1 END AS item_id
-  FROM flags),
-ctx AS (
-  SELECT crawl_id, title, row_number() OVER (PARTITION BY crawl_id ORDER BY hpos, title) - 1 AS ctx_ord
-  FROM (SELECT DISTINCT crawl_id, title_b AS title, hpos FROM ihp)),
-toxic AS (
-  SELECT d.crawl_id, d.source FROM labels l JOIN docs d USING (doc_id) WHERE l.toxic = 1),
-verdicts AS (
-  SELECT f.crawl_id, f.item_id FROM flags2 f JOIN toxic t ON f.crawl_id = t.crawl_id AND f.source = t.source
-  WHERE f.ambiguous),
-vkept AS (
-  SELECT f.* FROM flags2 f WHERE NOT EXISTS (
-    SELECT 1 FROM verdicts v WHERE v.crawl_id = f.crawl_id AND v.item_id = f.item_id)),
-vfinal AS (
-  SELECT crawl_id, title, row_number() OVER (PARTITION BY crawl_id ORDER BY ambiguous, pos) - 1 AS final_pos FROM vkept)
+               {toks('lower(title)')} AS tk FROM cl)
 """
 
 # G1 as a recursive fold: state = kept slots per crawl; one step per item in list order.
@@ -423,6 +388,51 @@ gslots AS (
   SELECT crawl_id, unnest(slots) AS s, unnest(range(0, len(slots))) AS slot FROM gfinal)
 """
 
+# The reviewer walks what the greedy dedup kept.
+TRIAGE = f"""
+tl AS (
+  SELECT g.crawl_id, c.crawl_ts, g.slot AS pos, g.s.title AS title, g.s.source AS source
+  FROM gslots g JOIN (SELECT DISTINCT crawl_id, crawl_ts FROM cl) c USING (crawl_id)),
+tlk AS (SELECT *, {toks('lower(title)')} AS tk FROM tl),
+hpc AS (
+  SELECT c.crawl_id, h.title, min({{'h_ts': h.crawl_ts, 'key_ord': h.key_ord, 'rank_in_group': h.rank_in_group}}) AS hpos
+  FROM (SELECT DISTINCT crawl_id, crawl_ts FROM tl) c
+  JOIN capped h ON h.crawl_ts > c.crawl_ts - INTERVAL 7 DAY AND h.crawl_ts < c.crawl_ts
+  GROUP BY c.crawl_id, h.title),
+hpk AS (SELECT crawl_id, title, hpos, {toks('lower(title)')} AS tk FROM hpc),
+ihp AS (
+  SELECT a.crawl_id, a.title AS title_a, b.title AS title_b, b.hpos
+  FROM tlk a JOIN hpk b ON a.crawl_id = b.crawl_id
+  WHERE len(a.tk) > 0 AND len(b.tk) > 0 AND {jacc('a.tk', 'b.tk')} > 0.1::DOUBLE),
+inp AS (
+  SELECT a.crawl_id, a.title AS title_a, b.title AS title_b
+  FROM tlk a JOIN tlk b ON a.crawl_id = b.crawl_id AND a.title < b.title
+  WHERE len(a.tk) > 0 AND len(b.tk) > 0 AND {jacc('a.tk', 'b.tk')} > 0.1::DOUBLE),
+sus AS (
+  SELECT DISTINCT crawl_id, title FROM (
+    SELECT crawl_id, title_a AS title FROM ihp UNION ALL SELECT crawl_id, title_a FROM inp
+    UNION ALL SELECT crawl_id, title_b FROM inp)),
+flags AS (
+  SELECT tl.crawl_id, tl.pos, tl.title, tl.source, (sus.title IS NOT NULL) AS ambiguous
+  FROM tl LEFT JOIN sus USING (crawl_id, title)),
+flags2 AS (
+  SELECT *, CASE WHEN ambiguous THEN row_number() OVER (PARTITION BY crawl_id, ambiguous ORDER BY pos) - 1 END AS item_id
+  FROM flags),
+ctx AS (
+  SELECT crawl_id, title, row_number() OVER (PARTITION BY crawl_id ORDER BY hpos, title) - 1 AS ctx_ord
+  FROM (SELECT DISTINCT crawl_id, title_b AS title, hpos FROM ihp)),
+toxic AS (
+  SELECT d.crawl_id, d.source FROM labels l JOIN docs d USING (doc_id) WHERE l.toxic = 1),
+verdicts AS (
+  SELECT f.crawl_id, f.item_id FROM flags2 f JOIN toxic t ON f.crawl_id = t.crawl_id AND f.source = t.source
+  WHERE f.ambiguous),
+vkept AS (
+  SELECT f.* FROM flags2 f WHERE NOT EXISTS (
+    SELECT 1 FROM verdicts v WHERE v.crawl_id = f.crawl_id AND v.item_id = f.item_id)),
+vfinal AS (
+  SELECT crawl_id, title, row_number() OVER (PARTITION BY crawl_id ORDER BY ambiguous, pos) - 1 AS final_pos FROM vkept)
+"""
+
 SIMPLE = f"""
 sitems AS (
   SELECT crawl_id, title, lower(title) AS lowered,
@@ -452,8 +462,8 @@ sfinal AS (
   JOIN (SELECT crawl_id, max(i) AS n FROM srec GROUP BY crawl_id) m ON m.crawl_id = r.crawl_id AND m.n = r.i)
 """
 
-RV = with_ctes(BASE, RULES, MATCH, TOTALS, NOVELTY_CAPPED, DEDUP_IN, CAND)
 RG = with_ctes(BASE, RULES, MATCH, TOTALS, NOVELTY_CAPPED, DEDUP_IN, CAND, GREEDY, recursive=True)
+RV = with_ctes(BASE, RULES, MATCH, TOTALS, NOVELTY_CAPPED, DEDUP_IN, CAND, GREEDY, TRIAGE, recursive=True)
 
 SQL.update({
     "triage": RV + """
@@ -467,14 +477,14 @@ SELECT crawl_id, slot::BIGINT AS slot, s.title AS title, round(s.weight, 9) AS w
     "simple_dedup": with_ctes(BASE, RULES, MATCH, SIMPLE, recursive=True) + """
 SELECT crawl_id, unnest(range(0, len(kept)))::BIGINT AS pos, unnest(kept) AS title FROM sfinal""",
     "text_report": RG + """
-SELECT g.crawl_id, count(*)::BIGINT AS items,
-       '🔥 热点新闻推送' || chr(10) || chr(10) || ' ' || count(*) || '条 |  ' || any_value(t.generate_time) || chr(10) ||
-       string_agg(ln, '' ORDER BY rn) AS body
-FROM (SELECT crawl_id, row_number() OVER (PARTITION BY crawl_id ORDER BY s.weight DESC, slot) AS rn,
+SELECT p.crawl_id, count(ln)::BIGINT AS items,
+       '🔥 热点新闻推送' || chr(10) || chr(10) || ' ' || count(ln) || '条 |  ' || any_value(t.generate_time) || chr(10) ||
+       coalesce(string_agg(ln, '' ORDER BY rn), '') AS body
+FROM (SELECT crawl_id FROM push WHERE push) p JOIN totals t USING (crawl_id)
+LEFT JOIN (SELECT crawl_id, row_number() OVER (PARTITION BY crawl_id ORDER BY s.weight DESC, slot) AS rn,
              row_number() OVER (PARTITION BY crawl_id ORDER BY s.weight DESC, slot) || '. ' || s.title || ' - ' || s.source || chr(10) AS ln
-      FROM gslots) g
-JOIN totals t USING (crawl_id)
-GROUP BY g.crawl_id""",
+      FROM gslots) g ON g.crawl_id = p.crawl_id
+GROUP BY p.crawl_id""",
 })
 
 CJKCLS = r"[\x{4e00}-\x{9fa5}]"
@@ -587,7 +597,7 @@ SELECT 'token_log' AS log, count(*) AS kept_rows FROM tl WHERE ts > (SELECT as_o
 UNION ALL
 SELECT 'push_log' AS log, count(*) AS kept_rows FROM pl WHERE push_ts > (SELECT as_of FROM a) - INTERVAL 7 DAY""",
     "strip_markdown": H + f"""
-SELECT crawl_id, platform_id, rank, {strip_md('title')} AS stripped FROM valid WHERE regexp_matches(title, '[*#`]')""",
+SELECT crawl_id, platform_id, rank, {strip_md('title')} AS stripped FROM valid""",
     "pack_messages": with_ctes("rt AS (SELECT conv_id, turn, text AS body FROM conversations)",
                                pack_rec("pk", "rt", "conv_id, turn", "200"), recursive=True) + """
 SELECT conv_id, turn, (i + 1)::BIGINT AS part, len(ps)::BIGINT AS parts,

@@ -16,7 +16,7 @@ from headline_engine.functions.timefmt import ts_text
 from headline_engine.functions.text import title_key, tokens
 from headline_engine.operators import dedup, feed, language, logs, match, messages, novelty as nov, report, review, simjoin
 from headline_engine.functions.text import escape_html, is_english, report_line, strip_markdown
-from headline_engine.functions.timefmt import day_key
+from headline_engine.functions.timefmt import day_key, from_utc_wall
 from headline_engine.sources import adapters as A
 from headline_engine.sources.rules import group_caps, load_rules
 
@@ -30,7 +30,7 @@ def _r(col, places: int = 9):
 # ---------------------------------------------------------------- building blocks
 # Base frames are built once per (session, tables, config) and reused inside a
 # query, so a plan that reads the report items several times shares one
-# subtree. The report items (bounded by caps x crawls) are checkpointed to the
+# subtree; every registered query call starts with an empty memo. The report items (bounded by caps x crawls) are checkpointed to the
 # session's checkpoint folder, which also cuts their lineage.
 
 _MEMO: dict = {}
@@ -83,6 +83,15 @@ def capped(spark: SparkSession, sf_dir: str, cfg: EngineConfig = CFG) -> DataFra
     return _memo("capped", spark, sf_dir, cfg, build)
 
 
+def crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawls that have a report: at least one registry platform answered (S3)."""
+    return report.crawl_outcome(snapshots(spark, sf_dir), platforms(spark, sf_dir)).where("has_report").select("crawl_id", "crawl_ts")
+
+
+def totals_of(spark: SparkSession, sf_dir: str, cfg: EngineConfig = CFG) -> DataFrame:
+    return report.report_totals(capped(spark, sf_dir, cfg), cfg, crawls(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- step 0-1
 
 def q_feed_explode(spark, sf_dir):
@@ -143,7 +152,7 @@ def q_top_headlines(spark, sf_dir):
 
 def q_report_totals(spark, sf_dir):
     """Per crawl report header facts."""
-    t = report.report_totals(capped(spark, sf_dir), CFG)
+    t = totals_of(spark, sf_dir)
     return t.select("crawl_id", "report_day", "report_mode", "total_news", "hot_news", "generate_date", "generate_time")
 
 
@@ -170,15 +179,14 @@ def q_report_view(spark, sf_dir):
 
 def q_report_latest_per_day(spark, sf_dir):
     """The report kept for each UTC+8 day (last crawl of the day)."""
-    t = report.report_totals(capped(spark, sf_dir), CFG)
+    t = totals_of(spark, sf_dir)
     d = report.latest_per_day(t)
     return d.select("report_day", "crawl_id", "total_news", "hot_news", "generate_date", "generate_time")
 
 
 def q_crawl_outcome(spark, sf_dir):
     """S3: ok / failed registry platforms per crawl."""
-    n_registry = platforms(spark, sf_dir).count()
-    o = report.crawl_outcome(snapshots(spark, sf_dir), n_registry)
+    o = report.crawl_outcome(snapshots(spark, sf_dir), platforms(spark, sf_dir))
     return o.select("crawl_id", "ok_platforms", "failed_platforms", "has_report")
 
 
@@ -249,19 +257,27 @@ def q_history_stats(spark, sf_dir):
     )
 
 
+def new_counts(spark, sf_dir, cfg: EngineConfig = CFG):
+    """New report items of every crawl that has a report (0 where nothing matched)."""
+    c = report_items_new(spark, sf_dir, cfg).groupBy("crawl_id").agg(F.count_if("is_new").alias("new_items"))
+    return crawls(spark, sf_dir).select("crawl_id").join(c, "crawl_id", "left").fillna(0, ["new_items"])
+
+
 def increment_frame(spark, sf_dir, cfg: EngineConfig = CFG):
     c = report_items_new(spark, sf_dir, cfg)
     per = c.groupBy("crawl_id", "crawl_ts").agg(
-        F.count_distinct("title").alias("current_titles"),
-        F.count_if("is_new").alias("new_items"),
-        F.slice(F.sort_array(F.collect_list(F.when(F.col("is_new"), F.struct("key_ord", "rank_in_group", "title")))), 1, 3).alias("_s"),
-    )
+        F.count_distinct("title").alias("current_titles"), F.count_if("is_new").alias("new_items"))
+    per = crawls(spark, sf_dir).join(per, ["crawl_id", "crawl_ts"], "left").fillna(0, ["current_titles", "new_items"])
+    # The first three new items, ranked before they are gathered.
+    w = Window.partitionBy("crawl_id").orderBy("key_ord", "rank_in_group")
+    top = c.where("is_new").withColumn("_i", F.row_number().over(w)).where("_i <= 3")
+    top = top.groupBy("crawl_id").agg(F.sort_array(F.collect_list(F.struct("_i", "title"))).alias("_s"))
     hist = nov.history_rows(capped(spark, sf_dir, cfg)).select("title", "crawl_ts").distinct()
     hn = nov.window_distinct_counts(hist, per.select("crawl_ts"), "title", "crawl_ts", cfg)
     samples = F.array_join(F.transform("_s", lambda x: F.concat(F.substring(x["title"], 1, 30), F.lit("..."))), " | ")
-    return per.join(hn, "crawl_ts", "left").select(
+    return per.join(hn, "crawl_ts", "left").join(top, "crawl_id", "left").select(
         "crawl_id", "crawl_ts", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("history_titles"),
-        "current_titles", "new_items", samples.alias("samples"),
+        "current_titles", "new_items", F.coalesce(samples, F.lit("")).alias("samples"),
     )
 
 
@@ -272,16 +288,15 @@ def q_increment_stats(spark, sf_dir):
 
 def q_push_decision(spark, sf_dir):
     """Push iff new items (incremental mode), with the reason text."""
-    p = report.push_decision(increment_frame(spark, sf_dir).select("crawl_id", "new_items"), CFG)
+    p = report.push_decision(new_counts(spark, sf_dir), CFG)
     return p.select("crawl_id", "new_items", "push", "push_reason")
 
 
 def q_crawl_summary(spark, sf_dir):
     """Totals, platform outcome and push decision per crawl."""
-    t = report.report_totals(capped(spark, sf_dir), CFG).select("crawl_id", "total_news", "hot_news")
-    n_registry = platforms(spark, sf_dir).count()
-    o = report.crawl_outcome(snapshots(spark, sf_dir), n_registry)
-    p = report.push_decision(increment_frame(spark, sf_dir).select("crawl_id", "new_items"), CFG)
+    t = totals_of(spark, sf_dir).select("crawl_id", "total_news", "hot_news")
+    o = report.crawl_outcome(snapshots(spark, sf_dir), platforms(spark, sf_dir))
+    p = report.push_decision(new_counts(spark, sf_dir), CFG)
     return o.join(t, "crawl_id", "left").join(p, "crawl_id", "left").select(
         "crawl_id", F.coalesce("total_news", F.lit(0)).alias("total_news"), F.coalesce("hot_news", F.lit(0)).alias("hot_news"),
         "ok_platforms", "failed_platforms",
@@ -358,10 +373,8 @@ def q_simple_dedup(spark, sf_dir):
 
 
 def candidate_list(spark, sf_dir, cfg: EngineConfig = CFG):
-    """The list the near-duplicate stages walk: J4 survivors with their flatten position."""
-    d = dedup_input(spark, sf_dir, cfg).where(~F.col("hist_dup"))
-    w = Window.partitionBy("crawl_id").orderBy("key_ord", "rank_in_group")
-    return d.withColumn("pos", F.row_number().over(w) - 1)
+    """The reviewer's input (G2): the greedy result, its slot as list position (checkpointed)."""
+    return _memo("candidates", spark, sf_dir, cfg, lambda: greedy_frame(spark, sf_dir, cfg).withColumn("pos", F.col("slot")).checkpoint(eager=True))
 
 
 def _history_report_rows(spark, sf_dir, cfg: EngineConfig = CFG):
@@ -401,8 +414,9 @@ def q_apply_verdicts(spark, sf_dir):
 def q_text_report(spark, sf_dir):
     """The pushed text per crawl (header + lines by weight, ties in slot order)."""
     g = greedy_frame(spark, sf_dir)
-    totals = report.report_totals(capped(spark, sf_dir), CFG)
-    t = report.text_report(g.withColumn("slot", F.col("slot")), totals)
+    totals = totals_of(spark, sf_dir)
+    pushed = report_items_new(spark, sf_dir).where("is_new").select("crawl_id")
+    t = report.text_report(g, totals, pushed)
     return t.select("crawl_id", F.col("items").cast("bigint").alias("items"), "body")
 
 
@@ -461,7 +475,7 @@ def q_push_daily(spark, sf_dir):
 
 def q_schedule_gate(spark, sf_dir):
     """Would a scheduled crawl at each event time run."""
-    ev = A.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    ev = A.table(spark, sf_dir, "events").select("event_id", from_utc_wall("ts").alias("ts"))
     g = logs.schedule_gate(ev, A.calendar(spark, DRIVER_CALENDAR), "ts", CFG)
     return g.select("event_id", F.col("local_hour").cast("bigint").alias("local_hour"), "is_holiday", "run")
 
@@ -480,8 +494,8 @@ def q_retention(spark, sf_dir):
 # ---------------------------------------------------------------- step 7: text out
 
 def q_strip_markdown(spark, sf_dir):
-    """Document lines holding markdown marks, stripped."""
-    items = feed.explode_feed(snapshots(spark, sf_dir)).where(F.col("title").rlike("[*#`]"))
+    """Every document line, stripped of markdown marks."""
+    items = feed.explode_feed(snapshots(spark, sf_dir))
     return items.select("crawl_id", "platform_id", "rank", strip_markdown("title").alias("stripped"))
 
 

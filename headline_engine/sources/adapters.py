@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from headline_engine.functions.timefmt import from_utc_wall
+
 # Fixed values of the adapter: crawl epoch and spacing.
 CRAWL_EPOCH_SECONDS = 1704067200  # 2024-01-01 00:00:00 UTC
 CRAWL_SPACING_SECONDS = 12 * 3600
@@ -20,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that one numbering task holds.
+ROWS_PER_BUCKET = 500_000
+
+
+def _bucket(x: F.Column, bounds: list, lo: int, hi: int) -> F.Column:
+    """Number of bounds at or below x, by binary search (log2 comparisons a row)."""
+    if lo == hi:
+        return F.lit(lo)
+    m = (lo + hi) // 2
+    return F.when(x >= F.lit(bounds[m]), _bucket(x, bounds, m + 1, hi)).otherwise(_bucket(x, bounds, lo, m))
+
+
 def ordinal_within(df: DataFrame, key: str, order: str, buckets: int | None = None) -> DataFrame:
     """Return (key, order, ordinal): 1-based row number of `order` within `key`.
 
@@ -31,11 +45,10 @@ def ordinal_within(df: DataFrame, key: str, order: str, buckets: int | None = No
     """
     spark = df.sparkSession
     narrow = df.select(key, order)
-    # Buckets only need to spread a hot key over enough tasks; the bucket is found by a
-    # scan of the bounds, so their number is capped rather than tied to the cluster size.
-    nb = buckets or min(256, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    bounds = sorted(set(narrow.approxQuantile(order, [i / nb for i in range(1, nb)], 0.01))) if nb > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    # One bucket per ROWS_PER_BUCKET rows (the shuffle partitions at least), with quantile errors well under a bucket.
+    nb = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-narrow.count() // ROWS_PER_BUCKET))
+    bounds = sorted(set(narrow.approxQuantile(order, [i / nb for i in range(1, nb)], 1 / (8 * nb)))) if nb > 1 else []
+    bucket = _bucket(F.col(order), bounds, 0, len(bounds))
     narrow = narrow.withColumn("_b", bucket)
     counts = narrow.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,10 +81,10 @@ def documents_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIXTURES §2.1: crawl_id = row number per source by doc_id, 12 h apart from 2024-01-01."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     ords = ordinal_within(docs, "source", "doc_id")
-    # The id map has one row per document: at scale it is never broadcast, so the
-    # documents are hash-partitioned by (source, doc_id); the hint keeps that plan
-    # at every size and spreads the per-response work over the shuffle partitions.
-    return docs.join(ords.hint("shuffle_hash"), ["source", "doc_id"]).select(
+    # The id map has one row per document: at scale it is never broadcast. The hint
+    # keeps the (spilling) sort-merge plan at every size and so spreads the
+    # per-response work over the shuffle partitions.
+    return docs.join(ords.hint("merge"), ["source", "doc_id"]).select(
         F.col("ordinal").alias("crawl_id"),
         crawl_ts_of("ordinal").alias("crawl_ts"),
         F.col("source").alias("platform_id"),
@@ -114,7 +127,7 @@ def events_token_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIXTURES §2.3: ts, module = event_type, total_tokens = floor(value)."""
     ev = table(spark, sf_dir, "events")
     return ev.select(
-        F.col("ts").cast("timestamp").alias("ts"),
+        from_utc_wall("ts").alias("ts"),
         F.col("event_type").alias("module"),
         F.lit("driver").alias("model"),
         F.floor(F.col("value")).cast("bigint").alias("total_tokens"),
@@ -125,7 +138,7 @@ def events_token_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_push_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIXTURES §2.3: purchase events are pushes; push_ts = ts, report_type = event_type."""
     ev = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
-    return ev.select(F.col("ts").cast("timestamp").alias("push_ts"), F.col("event_type").alias("report_type"), "event_id")
+    return ev.select(from_utc_wall("ts").alias("push_ts"), F.col("event_type").alias("report_type"), "event_id")
 
 
 def conversations_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:

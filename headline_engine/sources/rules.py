@@ -12,8 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headline_engine.config import DEFAULT_RULES
 from headline_engine.functions.text import JS_SPACE, clean_title
 
+#: Largest rule text that is broadcast.
+MAX_RULE_BYTES = 1 << 20
+
 
 def rule_lines(text_df: DataFrame) -> DataFrame:
     """(group_ord, line_ord, kind, word, cap) per non-blank line of a one-column `text` frame."""
@@ -71,8 +75,29 @@ def parse_rules(text_df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def load_rules(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
-    """Rule text (a config value of bounded size) -> rules and exclude words."""
-    return parse_rules(spark.createDataFrame([(text or "",)], "text string"))
+    """Rule text -> rules and exclude words (see effective_rules() for an empty one).
+
+    Rules are joined by substring tests, so they are broadcast: the text's size is checked here."""
+    text = text or ""
+    if len(text.encode()) > MAX_RULE_BYTES:
+        raise ValueError(f"rule text of more than {MAX_RULE_BYTES} bytes")
+    return parse_rules(spark.createDataFrame([(text,)], "text string"))
+
+
+def effective_rules(text: str | None) -> str:
+    """The stored text, or the default rules where none is stored."""
+    return text or DEFAULT_RULES
+
+
+def save_rules(spark: SparkSession, text: str, path: str) -> None:
+    """S4 sink: the stored rule text (one row)."""
+    spark.createDataFrame([(text,)], "text string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def stored_rules(spark: SparkSession, path: str) -> str:
+    """The stored rule text, or an empty one (see effective_rules())."""
+    row = spark.read.parquet(path).first()
+    return row["text"] if row else ""
 
 
 def group_caps(rules: DataFrame, default_cap: int) -> DataFrame:

@@ -132,3 +132,31 @@ def test_near_dup_edges_equal_brute_force(spark):
     ok = S.length_ok(F.length(ka), F.length(kb), cfg) & (ka != kb) & (F.size(ta) > 0) & (F.size(tb) > 0)
     brute = {(r["a"], r["b"]) for r in u.where(ok & (sim > 0.8)).collect()}
     assert got == brute
+
+
+def test_equal_keys_give_no_candidates(spark):
+    """300 titles of one key: nothing is paired."""
+    from headline_engine.operators import simjoin
+    from headline_engine.config import DRIVER_CONFIG
+
+    df = spark.createDataFrame([(1, "Same key title" + "!" * i) for i in range(300)], "crawl_id long, title string")
+    u = simjoin.units(df, ["crawl_id"], DRIVER_CONFIG)
+    p = simjoin.prefixes(u, ["crawl_id"], 2 / 3, simjoin.token_order(u))
+    assert simjoin.candidate_pairs(p, p, ["crawl_id", "tok"], 2 / 3, DRIVER_CONFIG, self_join=True, unequal_keys=True).count() == 0
+    assert simjoin.near_dup_edges(df, ["crawl_id"], DRIVER_CONFIG).count() == 0
+
+
+def test_greedy_keeps_edge_free_items_and_hot_components(spark):
+    """Edge-free items keep their place; a component of 60 near duplicates keeps its heaviest in the opener's slot; no cap needed."""
+    from dataclasses import replace as rep
+
+    from headline_engine.config import DRIVER_CONFIG
+    from headline_engine.operators import dedup
+
+    base = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, "alpha only", 1.0), (1, base + " tail0", 2.0)]
+    rows += [(1, base + f" tail{i}", 2.0 + i / 100) for i in range(1, 60)] + [(1, "omega only", 9.0)]
+    df = spark.createDataFrame([(c, t, w, 1, i, "", "s") for i, (c, t, w) in enumerate(rows)],
+                               "crawl_id long, title string, weight double, key_ord int, rank_in_group int, url string, source string")
+    got = [(r["slot"], r["title"]) for r in dedup.greedy_dedup(df, rep(DRIVER_CONFIG, default_cap=0)).orderBy("slot").collect()]
+    assert got == [(0, "alpha only"), (1, base + " tail59"), (2, "omega only")]

@@ -30,8 +30,12 @@ def test_explode_and_collapse(spark):
     assert got == {"A": ([1, 5], "u1"), "B": ([4], "")}
     rows_ = {r["title"]: (r["appearances"], r["first_rank"], r["url"]) for r in feed.collapse_rows(feed.explode_feed(s)).collect()}
     assert rows_ == {"A": (2, 1, "u1"), "B": (1, 4, "")}
-    out = report.crawl_outcome(s, n_registry=5).first()
+    registry = spark.createDataFrame([(i, f"p{i}", f"p{i}") for i in range(1, 6)], schemas.PLATFORMS)
+    out = report.crawl_outcome(s, registry).first()
     assert (out["ok_platforms"], out["failed_platforms"], out["has_report"]) == (2, 3, True)
+    twice = s.unionByName(snaps(spark, [(1, ts, "p1", "success", [item("A")]), (1, ts, "unknown", "success", [])]))
+    out = report.crawl_outcome(twice, registry).first()
+    assert (out["ok_platforms"], out["failed_platforms"]) == (2, 3)
 
 
 def parsed(spark, text):
