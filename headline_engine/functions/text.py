@@ -30,11 +30,6 @@ def clean_title(col) -> Column:
     return F.btrim(_c(col), F.lit(JS_SPACE_CHARS))
 
 
-def valid_title(col) -> Column:
-    """A title is kept if it is non-null and not blank after trimming."""
-    return _c(col).isNotNull() & (clean_title(col) != F.lit(""))
-
-
 def title_key(col) -> Column:
     """Lowercase, keep only CJK ideographs and [a-z0-9]."""
     return F.regexp_replace(F.lower(_c(col)), KEY_DROP, "")

@@ -99,14 +99,22 @@ def window_distinct_counts(sightings: DataFrame, query_times: DataFrame, key: st
 
     Uses presence sessions: a key counts at T iff first_ts < T < last_ts + window.
     Session boundaries aggregate to per-time deltas (at most two per crawl time),
-    and a running sum over time points answers every T. No history row is
-    replicated per query time.
+    and a running sum over time points answers every T. The running sum goes by
+    week: totals of whole weeks are summed first (one row per week of the
+    archive), and each week continues from the total before it. No history row
+    is replicated per query time.
     """
     sess = presence_sessions(sightings, key, ts, cfg)
     end = F.col("last_ts") + F.make_interval(days=F.lit(cfg.history_days))
-    starts = sess.groupBy(F.col("first_ts").alias("t")).agg(F.count(F.lit(1)).alias("d")).withColumn("kind", F.lit(2))
-    ends = sess.groupBy(end.alias("t")).agg((-F.count(F.lit(1))).alias("d")).withColumn("kind", F.lit(0))
-    qs = query_times.select(F.col(ts).alias("t")).distinct().withColumn("d", F.lit(0).cast("bigint")).withColumn("kind", F.lit(1))
-    ev = starts.unionByName(ends).unionByName(qs)
-    w = Window.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return ev.withColumn("n", F.sum("d").over(w)).where(F.col("kind") == 1).select(F.col("t").alias(ts), "n")
+    # At one time, sessions end before it is asked for and begin after it (both bounds are open).
+    edges = F.array(F.struct(F.col("first_ts").alias("t"), F.lit(2).alias("kind"), F.lit(1).cast("bigint").alias("d")),
+                    F.struct(end.alias("t"), F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("d")))
+    moves = sess.select(F.explode(edges).alias("e")).groupBy("e.t", "e.kind").agg(F.sum("e.d").alias("d"))
+    qs = query_times.select(F.col(ts).alias("t")).distinct().select("t", F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("d"))
+    ev = moves.unionByName(qs).withColumn("_w", F.floor(_secs("t") / F.lit(7 * 86400)).cast("bigint"))
+    weeks = ev.groupBy("_w").agg(F.sum("d").alias("_sum"))
+    before = Window.orderBy("_w").rowsBetween(Window.unboundedPreceding, -1)
+    weeks = weeks.select("_w", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    w = Window.partitionBy("_w").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    ev = ev.withColumn("_in", F.sum("d").over(w)).where(F.col("kind") == 1).join(weeks, "_w")
+    return ev.select(F.col("t").alias(ts), (F.col("_base") + F.col("_in")).alias("n"))

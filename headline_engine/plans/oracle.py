@@ -212,7 +212,7 @@ HN = with_ctes(BASE, HK)
 
 SQL.update({
     "report_totals": RC + """
-SELECT crawl_id, report_day, 'incremental' AS report_mode, total_news, hot_news, generate_date, generate_time FROM totals""",
+SELECT crawl_id, report_day, 'incremental' AS report_mode, '增量监控' AS mode_label, total_news, hot_news, generate_date, generate_time FROM totals""",
     "group_summary": RC + """
 SELECT crawl_id, group_key, count(*) AS item_count,
        CASE WHEN count(*) >= 20 THEN 'hot' WHEN count(*) >= 10 THEN 'warm' ELSE '' END AS heat,
@@ -613,6 +613,17 @@ SELECT p.conv_id, p.turn, p.channel, (i + 1)::BIGINT AS part, len(ps)::BIGINT AS
             CASE WHEN p.channel = 'feishu' THEN '━━━━━━━━━━━━━━━━━━━' || chr(10) ELSE '' END ||
             '第 ' || (i + 1) || '/' || len(ps) || ' 部分' ELSE ps[i + 1] END AS body
 FROM (SELECT conv_id, turn, channel, ps, unnest(range(0, len(ps))) AS i FROM cm_parts) p""",
+    "channel_conversations": with_ctes(
+        "ch AS (SELECT * FROM (VALUES ('feishu', 30000, true), ('dingtalk', 20000, false), ('wework', 4000, false), "
+        "('telegram', 4000, false)) v(channel, lim, rule))",
+        "rt AS (SELECT c.*, ch.channel, ch.lim, ch.rule FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body "
+        "FROM conversations GROUP BY conv_id) c, ch)",
+        pack_rec("cc", "rt", "conv_id, channel", "lim"), recursive=True) + """
+SELECT p.conv_id, p.channel, (i + 1)::BIGINT AS part, len(ps)::BIGINT AS parts,
+       CASE WHEN len(ps) > 1 THEN ps[i + 1] || chr(10) || chr(10) ||
+            CASE WHEN p.channel = 'feishu' THEN '━━━━━━━━━━━━━━━━━━━' || chr(10) ELSE '' END ||
+            '第 ' || (i + 1) || '/' || len(ps) || ' 部分' ELSE ps[i + 1] END AS body
+FROM (SELECT conv_id, channel, ps, unnest(range(0, len(ps))) AS i FROM cc_parts) p""",
     "page_lines": f"""
 WITH pg AS (
   SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1) AS platform_id,

@@ -15,7 +15,7 @@ from headline_engine.config import DRIVER_CALENDAR, DRIVER_CONFIG, EngineConfig
 from headline_engine.functions.timefmt import ts_text
 from headline_engine.functions.text import title_key, tokens
 from headline_engine.operators import dedup, feed, language, logs, match, messages, novelty as nov, report, review, simjoin
-from headline_engine.functions.text import escape_html, is_english, report_line, strip_markdown
+from headline_engine.functions.text import escape_html, is_english, mode_label, report_line, strip_markdown
 from headline_engine.functions.timefmt import day_key, from_utc_wall
 from headline_engine.sources import adapters as A
 from headline_engine.sources.rules import group_caps, load_rules
@@ -151,9 +151,10 @@ def q_top_headlines(spark, sf_dir):
 # ---------------------------------------------------------------- step 2: report facts
 
 def q_report_totals(spark, sf_dir):
-    """Per crawl report header facts."""
+    """Per crawl report header facts."""
     t = totals_of(spark, sf_dir)
-    return t.select("crawl_id", "report_day", "report_mode", "total_news", "hot_news", "generate_date", "generate_time")
+    return t.select("crawl_id", "report_day", "report_mode", mode_label("report_mode").alias("mode_label"), "total_news", "hot_news",
+                    "generate_date", "generate_time")
 
 
 def q_group_summary(spark, sf_dir):
@@ -515,6 +516,14 @@ def q_channel_messages(spark, sf_dir):
                     F.col("parts").cast("bigint").alias("parts"), "body")
 
 
+def q_channel_conversations(spark, sf_dir):
+    """G4-G6 on long bodies: a whole conversation as one report per channel (many pass the smallest channel limit)."""
+    rt = A.conversations_report_text(spark, sf_dir).groupBy("conv_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "body"))), lambda x: x["body"]), "\n").alias("body"))
+    p = messages.channel_messages(rt, "body", ["conv_id"], CFG)
+    return p.select("conv_id", "channel", F.col("part").cast("bigint").alias("part"), F.col("parts").cast("bigint").alias("parts"), "body")
+
+
 def q_page_lines(spark, sf_dir):
     """P3, P26, P28 over `pages`: titled feed per host with urls, report lines and escaped titles."""
     h = feed.collapse_rows(A.pages_feed(spark, sf_dir), CFG)
@@ -598,6 +607,7 @@ QUERIES = {
     "strip_markdown": q_strip_markdown,
     "pack_messages": q_pack_messages,
     "channel_messages": q_channel_messages,
+    "channel_conversations": q_channel_conversations,
     "page_lines": q_page_lines,
     "stream_novelty": q_stream_novelty,
     "stream_token_daily": q_stream_token_daily,
