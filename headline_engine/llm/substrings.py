@@ -44,7 +44,7 @@ from headline_engine.llm.common import (
 )
 
 WINDOW = 50
-K = 10
+K = 20
 
 _ANCHORS = "h long, ctx long, _id long, _th long, pos int"
 _WINDOWS = "h long, ctx long, first long, w1 long, w2 long, off int"
@@ -106,8 +106,11 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, k: int = K) -> Da
                     ["h", "ctx", "_id", "_th", "pos"])
 
     found = docs.mapInArrow(seed, _ANCHORS)
+    # Most anchors occur in one document; only the others go on.
+    twice = found.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("hi > lo").select("h")
+    found = durable(found.join(twice, "h"))
     classes = found.groupBy("h", "ctx").agg(F.min(F.struct("_id", "_th", "pos")).alias("rep"), F.max("_id").alias("last"))
-    groups = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rep._id").alias("lo"), F.max("last").alias("hi")).where("hi > lo")
+    groups = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rep._id").alias("lo"))
     classes = durable(classes.join(groups.select("h", (F.col("n") > 1).alias("several"), "lo"), "h").select(
         "h", "ctx", F.col("rep._id").alias("first"), F.col("rep._th").alias("th"), F.col("rep.pos").alias("pos"), "last", "several", "lo"))
 
