@@ -21,12 +21,12 @@ first language in order. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +41,7 @@ TRAIN_DOCS = 1500
 ORDER = 3
 UNKNOWN = "und"
 _SCALE = 1024
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 _FOLD = np.full(256, 0x20, np.uint8)
 for _b in range(256):
