@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headline_engine.llm.common import NULL_ID, keyed
+from headline_engine.llm.common import NULL_ID, durable, keyed
 
 SPAN = 2
 DIVISOR = 3
@@ -75,7 +75,8 @@ def repeated(documents: DataFrame) -> DataFrame:
     # Equal (_id, _th, at) are one occurrence: a repeated row of a document is not a repeat of its chunks.
     place = F.struct("_id", "_th", "at")
     twice = multi.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
-    listed = multi.join(twice, "h").groupBy("_id", "_th").agg(F.collect_set(F.struct("at", "n", "h")).alias("spans"))
+    # A written table: the join then has a side of its own for AQE to split where a chunk is hot.
+    listed = multi.join(durable(twice), "h").groupBy("_id", "_th").agg(F.collect_set(F.struct("at", "n", "h")).alias("spans"))
     # Byte comparison: the candidates are cut out of their documents, and one group holds one text.
     docs = texts.join(listed, ["_id", "_th"])
     docs = docs.select("_id", "_th", F.explode(F.array(F.split("text", "\n", -1))).alias("lines"), "spans")
