@@ -28,7 +28,7 @@ from headline_engine.session import ensure_checkpoint_dir
 cloudpickle.register_pickle_by_value(headline_engine)
 
 #: A chunk of documents handled at once by the vectorised code (bytes of text; one document may exceed it).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Stands for a null doc_id in keys: nulls sort first and equal each other.
 NULL_ID = -(1 << 63)
 

@@ -219,7 +219,7 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
         if shipped.value is not None:
             m = Model.__new__(Model)
             m.__dict__.update(shipped.value)
-        maps = process_latest("langid", tag, m.node_maps) if m else None
+        maps = process_latest("large", tag, m.node_maps) if m else None
         for batch in batches:
             for part in chunks(batch, "text"):
                 texts = part.column("text").to_pylist()

@@ -13,7 +13,7 @@ import re
 from array import array
 from collections.abc import Callable
 
-from headline_engine.llm.common import process_wide
+from headline_engine.llm.common import process_latest
 
 #: Distinct pieces that a worker keeps.
 CACHE = 350_000
@@ -46,10 +46,9 @@ class Encoder:
         #: This kind drops white space and lower-cases; the other keeps the space with the word that follows.
         self.drops_space = spec.get("normalizer") is not None
         self.chars = _byte_chars()
-        #: Ids of pieces between spaces (leading space included), of bare pieces, and of letter runs.
+        #: Ids of pieces between spaces (with the space before them), and of bare pieces.
         self.cache: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
         self.room = cache
 
     def _whole(self, text: str) -> bytes:
@@ -60,12 +59,13 @@ class Encoder:
         mapped = word.encode().decode("latin1").translate(self.chars)
         return array("I", [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
 
-    def _sub(self, word: str) -> bytes:
-        got = self.letters.get(word)
+    def _sub(self, letters: str) -> bytes:
+        """Ids of a piece of letters, with the space before it where the tokenizer keeps it."""
+        got = self.cache.get(letters)
         if got is None:
-            got = self._merged(word)
-            if len(self.letters) < self.room:
-                self.letters[word] = got
+            got = self._merged(letters if self.drops_space else " " + letters)
+            if len(self.cache) < self.room:
+                self.cache[letters] = got
         return got
 
     def _run(self, piece: str) -> bytes:
@@ -84,7 +84,7 @@ class Encoder:
             if self.drops_space and (nl or not b and not q):
                 return self._sub(a.lower()) + (self._run(p) if p else b"") + (self._sub(b.lower()) if b else b"") + (self._run(q) if q else b"")
             if not self.drops_space and (b if nl else not (b or q)):
-                return self._sub(" " + a) + (self._run(p) if p else b"") + (self._run(nl) + self._sub(b) if nl else b"") + (self._run(q) if q else b"")
+                return self._sub(a) + (self._run(p) if p else b"") + (self._run(nl) + self._merged(b) if nl else b"") + (self._run(q) if q else b"")
         if self.drops_space:
             return self._whole(piece)
         if not piece or piece[-1].isspace() or piece[0].isspace():
@@ -123,8 +123,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Callable[[str], bytes]:
-    """The process's encoder for a vocabulary file (loaded once a worker)."""
-    return process_wide("encoder_" + path, lambda: Encoder(path)).ids
+    """The process's encoder for a vocabulary file (loaded once a worker, dropped when another large object is needed)."""
+    return process_latest("large", "encoder_" + path, lambda: Encoder(path)).ids
 
 
 def tokenizer_path(name: str) -> str:
