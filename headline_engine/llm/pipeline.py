@@ -2,9 +2,10 @@
 the last return the columns of documents.
 
 Rejected by language ID: documents without a letter in any script, and those whose language stays undecided (the best
-language's share of 2^(-code length) is under MIN_SCORE). Line dedup changes texts (and n_chars, where there is such a
-column); a document all of whose lines are copies of earlier ones goes. One document of each near-duplicate group stays
-(the smallest doc_id). Documents in which a benchmark window occurs go. Packing returns the pieces with their ids.
+language's share of 2^(-code length) is under MIN_SCORE: three or more languages are about equally likely). Line dedup changes texts
+(and n_chars, where there is such a column); a document all of whose lines are copies of earlier ones goes. One document
+of each near-duplicate group stays (the smallest doc_id). Documents in which a benchmark window occurs go. Packing
+returns the pieces with their ids.
 
 Defined cases are those of the operators; an empty table passes through every stage.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from headline_engine.llm import decontaminate, langid, linechunks, ngramjoin, packing
 
-MIN_SCORE = 0.5
+MIN_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
