@@ -23,6 +23,7 @@ def test_pipeline_equals_brute_force(spark):
     texts = [say(rnd.choice([3, 30, 200])) + "\n" + say(9) for _ in range(30)]
     texts += [say(20) + "\n" + block + "\n" + say(20) for _ in range(6)] + [block, block, block + "\nlast"]
     base = say(150)
+    texts += ["a twin of two lines\nand nothing more of it"] * 2  # two lines are one chunk
     texts += [base, base, base + " end", "begin " + base, base.upper()]
     texts += [say(40) + " " + passage.upper() + " " + say(40), passage, "", None, "123 456", "!!!"]
     docs = [(i, t, "en", "src0", len(t or "")) for i, t in enumerate(texts)]
