@@ -9,10 +9,10 @@ are grouped by hash; anchors of a single document cannot repeat and end there.
 
 Extend: an anchor's context is all words that some window around it can reach. Occurrences with equal contexts form a
 class, and share all windows around the anchor, so every member but the smallest document is a maximal repeat over the
-whole context: one row decides, copies are never paired. Only where an anchor has several classes are the windows of
-each class's first member extended one by one to both sides, grouped by a 128-bit hash of their words, and compared by
-the smallest document. Work is linear in the number of anchors; hot groups are combined map-side and hot joins split by
-AQE.
+whole context: one row decides, copies are never paired. Only where an anchor has several classes is each class's first
+member extended window by window to both sides; a window is taken with its smallest K-gram, grouped by a 128-bit hash of
+its words, and compared by the smallest document. Work is linear in the number of anchors; hot groups are combined
+map-side and hot joins split by AQE.
 
 Defined cases: words are runs of anything but ASCII white space; a null or short text has no window and keeps all; a
 null doc_id is the smallest id; repeated ids are separate documents with equal ids (neither is smaller); repeated rows
@@ -108,7 +108,8 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, k: int = K) -> Da
     found = docs.mapInArrow(seed, _ANCHORS)
     # Most anchors occur in one document; only the others go on.
     twice = found.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("hi > lo").select("h")
-    found = durable(found.join(twice, "h"))
+    # A written table: the join then has a side of its own for AQE to split where an anchor is hot.
+    found = durable(found.join(durable(twice), "h"))
     classes = found.groupBy("h", "ctx").agg(F.min(F.struct("_id", "_th", "pos")).alias("rep"), F.max("_id").alias("last"))
     groups = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rep._id").alias("lo"))
     classes = durable(classes.join(groups.select("h", (F.col("n") > 1).alias("several"), "lo"), "h").select(
@@ -135,6 +136,11 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, k: int = K) -> Da
                 start = pos[:, None] + off
                 ok = (start >= w.doc[of][:, None]) & (start + window <= w.doc[of + 1][:, None])
                 r, o = np.nonzero(ok)
+                # A window belongs to the anchor that is its smallest K-gram: its words alone decide, in every document.
+                first = np.arange(max(0, int(w.doc[-1]) - k + 1))
+                kgram = one(first, first + k)
+                mine = _slide(kgram, window - k + 1, np.minimum)[start[r, o]] == kgram[pos[r]]
+                r, o = r[mine], o[mine]
                 s = start[r, o]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[r]), pa.array(ctx[r]), pa.array(ids[of[r]]), signed(one(s, s + window)), signed(two(s, s + window)), pa.array(off[o].astype(np.int32))],
