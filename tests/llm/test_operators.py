@@ -68,6 +68,18 @@ def test_decontamination(spark, odd, odd_rows, none):
     assert not re.search("Python|Pandas|MapInArrow|CartesianProduct", plan)
 
 
+def test_decontamination_of_repeated_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(14))
+    rows = [(1, f"before {passage} after")] * 3 + [(None, f"{passage} twice"), (None, f"{passage} twice"), (2, passage), (3, "p0 p1 p2 and more"), (3, "p0 p1 p2 and more")]
+    items = [(1, passage), (2, "p0 p0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_decontamination(rows, items)
+    assert sum(r[5] for r in want) == 6
+    assert Counter(map(tuple, decontaminate.report(docs, df).collect())) == Counter(want)
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, df).collect()] == [3, 3]
+
+
 def test_proximity_matches_words_that_moved(spark):
     docs = spark.createDataFrame([(1, "zz alpha x beta gamma delta"), (2, "alpha beta gamma delta"), (3, "delta q q q q q q gamma beta alpha")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
