@@ -185,6 +185,22 @@ def test_packing_takes_lexical_neighbours():
     assert all(len(v) == 1 for v in of.values())
 
 
+@pytest.mark.parametrize("topics", [40, 80])
+def test_packing_shards_related_documents_together(spark, topics):
+    """Documents of one topic meet in a shard, in a small table as in a larger one."""
+    rnd = np.random.default_rng(2)
+    common_words = [f"word{i}" for i in range(50)]
+    rows = []
+    for k in range(topics):
+        own = ["".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(12)]
+        rows += [(8 * k + j, " ".join(rnd.permutation([*rnd.choice(own, 30), *rnd.choice(common_words, 60)]))) for j in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shard = {r["doc_id"]: r["sequence_id"] >> 32 for r in packing.pack(df, shard_rows=40).collect()}
+    assert max(Counter(shard.values()).values()) <= 40
+    together = [shard[8 * k + i] == shard[8 * k + j] for k in range(topics) for i in range(8) for j in range(i)]
+    assert np.mean(together) > 0.2  # dealt at random: 0.125 and 0.0625
+
+
 def test_token_files(spark, odd, odd_rows, none):
     tok = Tokenizer.from_file(tokens.tokenizer_path("word_bpe_49k.json"))
     folder = common.shared_dir(spark, "t")
