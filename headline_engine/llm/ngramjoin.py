@@ -287,8 +287,10 @@ def report(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_first(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents' columns for one row of each group: its smallest (doc_id, text hash)."""
+    """The documents' columns for one row of each group: its smallest (doc_id, text hash), once if the row is repeated."""
     found = near_duplicates(documents, threshold)
-    first = found.where(F.struct("_id", "_th") == F.col("group")).select(F.col("_id").alias("_keep_id"), F.col("_th").alias("_keep_th")).distinct()
-    cond = (F.coalesce(documents["doc_id"].cast("bigint"), F.lit(NULL_ID)) == first["_keep_id"]) & (F.xxhash64(documents["text"]) == first["_keep_th"])
-    return documents.join(first, cond, "left_semi")
+    first = found.where(F.struct("_id", "_th") == F.col("group")).select("_id", "_th").distinct()
+    rows = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_th"))
+    return rows.join(first, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("_row.*")

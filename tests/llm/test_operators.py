@@ -446,6 +446,12 @@ def test_ngram_join(odd, odd_rows, none):
     assert ngramjoin.report(none).count() == 0
 
 
+def test_keep_first_keeps_one_of_equal_rows(spark):
+    rows = [(1, "one text that is there twice")] * 2 + [(None, "a text without an id")] * 2 + [(2, "one text that is there twice"), (3, None), (4, "alone")]
+    kept = ngramjoin.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter({rows[0]: 1, rows[2]: 1, rows[5]: 1, rows[6]: 1})
+
+
 def test_ngram_join_in_small_blocks(spark, monkeypatch):
     """A hot group over many block pairs gives the same links."""
     import random
