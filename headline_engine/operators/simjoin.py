@@ -139,10 +139,12 @@ def near_dup_vs_history(items: DataFrame, history: DataFrame, cfg: EngineConfig
     """
     t = min_jaccard(cfg)
     days = cfg.history_days
-    iu = units(items, ["crawl_id", "crawl_ts"], cfg).where(F.col("n_tok") > 0)
+    every = units(items, ["crawl_id", "crawl_ts"], cfg)
+    iu = every.where(F.col("n_tok") > 0)
     # A history title is tokenised and ranked once; its prefix rows go to the weeks in which it was seen.
     seen = history.select(F.col("crawl_ts").alias("h_ts"), "title").distinct()
-    hu = units(seen, [], cfg).where(F.col("n_tok") > 0)
+    past = units(seen, [], cfg)
+    hu = past.where(F.col("n_tok") > 0)
     order = token_order(iu.select("toks").unionByName(hu.select("toks")))
     ip = prefixes(iu, ["crawl_id", "crawl_ts"], t, order).withColumn("wk", _week("crawl_ts", days))
     hp = prefixes(hu, [], t, order).join(seen.join(hu.select("title", "uid"), "title").select("uid", "h_ts"), "uid")
@@ -158,5 +160,10 @@ def near_dup_vs_history(items: DataFrame, history: DataFrame, cfg: EngineConfig
     v = attach(pairs, iu, hu)
     sim = hybrid_sim("key_a", "key_b", "tok_a", "tok_b", "la", "lb", cfg)
     dup_ids = v.where(sim > F.lit(cfg.near_dup_threshold)).select(F.col("uid_a").alias("uid")).distinct()
-    dups = iu.join(dup_ids, "uid").select("crawl_id", "title").withColumn("hist_dup", F.lit(True))
+    # Titles without tokens meet no one in the token join: with equal keys their similarity is 1.
+    bare = past.where(F.col("n_tok") == 0).join(seen, "title").select("kid", "title_key", "h_ts").distinct()
+    bare = bare.withColumn("wk", F.explode(F.array(_week("h_ts", days), _week("h_ts", days) + 1)))
+    bare = every.where(F.col("n_tok") == 0).withColumn("wk", _week("crawl_ts", days)).join(bare, ["kid", "title_key", "wk"])
+    bare = bare.where((F.col("h_ts") > lo) & (F.col("h_ts") < F.col("crawl_ts"))).select("crawl_id", "title")
+    dups = iu.join(dup_ids, "uid").select("crawl_id", "title").unionByName(bare).distinct().withColumn("hist_dup", F.lit(True))
     return items.join(dups, ["crawl_id", "title"], "left").withColumn("hist_dup", F.coalesce("hist_dup", F.lit(False)))

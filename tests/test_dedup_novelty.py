@@ -160,3 +160,15 @@ def test_greedy_keeps_edge_free_items_and_hot_components(spark):
                                "crawl_id long, title string, weight double, key_ord int, rank_in_group int, url string, source string")
     got = [(r["slot"], r["title"]) for r in dedup.greedy_dedup(df, rep(DRIVER_CONFIG, default_cap=0)).orderBy("slot").collect()]
     assert got == [(0, "alpha only"), (1, base + " tail59"), (2, "omega only")]
+
+
+def test_vs_history_flags_equal_empty_keys(spark):
+    import datetime as dt
+
+    from headline_engine.operators import simjoin
+
+    at = lambda d: dt.datetime(2024, 1, d)
+    items = spark.createDataFrame([(1, at(10), "!!!"), (1, at(10), "real words here"), (2, at(25), "???")], "crawl_id long, crawl_ts timestamp, title string")
+    history = spark.createDataFrame([(at(8), "..."), (at(9), "?!"), (at(10), "---")], "crawl_ts timestamp, title string")
+    got = simjoin.near_dup_vs_history(items, history).collect()
+    assert sorted((r["crawl_id"], r["title"], r["hist_dup"]) for r in got) == [(1, "!!!", True), (1, "real words here", False), (2, "???", False)]
