@@ -6,9 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF_SMALL = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark():
     from headline_engine.session import local_session
@@ -16,7 +13,3 @@ def spark():
     s = local_session("*", shuffle_partitions=8, app="headline_tests")
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    return [tuple(r[c] for c in cols) for r in df.collect()]

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from oracle_harness import SF_SMALL
 from headline_engine import schemas
 from headline_engine.config import DRIVER_CONFIG, EngineConfig
 from headline_engine.functions.text import title_key
