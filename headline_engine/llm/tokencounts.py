@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headline_engine.llm import common
+from headline_engine.llm.common import BASE, BASE2, CHUNK_BYTES, Words, process_latest, signed, text_buffer
 
 #: Entries of the broadcast table at most (its arrays take 18 bytes for each of twice as many slots).
 TABLE_ENTRIES = 1 << 16
@@ -67,7 +67,7 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def pretokens(data: np.ndarray, offsets: np.ndarray) -> common.Words:
+def pretokens(data: np.ndarray, offsets: np.ndarray) -> Words:
     """Pre-tokens of the texts data[offsets[i]:offsets[i + 1]], lower-cased where they are letters."""
     n = len(data)
     k = np.zeros(n + 2, np.uint8)
@@ -95,7 +95,7 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> common.Words:
     upper = lead[(own[lead] == _LETTER) & (data[lead + 1] <= 0x9E)] + 1
     low[upper] += np.uint8(32)
     start = np.flatnonzero(own_start)
-    return common.Words(low, start, np.flatnonzero(own_end) + 1, np.searchsorted(start, offsets))
+    return Words(low, start, np.flatnonzero(own_end) + 1, np.searchsorted(start, offsets))
 
 
 @dataclass
@@ -194,7 +194,7 @@ class Lengths:
 
 def lengths(path: str) -> Lengths:
     """The process's lengths for a vocabulary file (one large object a worker)."""
-    return common.process_latest("large", "lengths_" + path, lambda: Lengths(path))
+    return process_latest("large", "lengths_" + path, lambda: Lengths(path))
 
 
 def _distinct(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,11 +233,11 @@ def _parts(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[
         i = j
 
 
-def _hashed(w: common.Words) -> tuple[np.ndarray, np.ndarray]:
-    return w.hashes(common.BASE), w.hashes(common.BASE2)
+def _hashed(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    return w.hashes(BASE), w.hashes(BASE2)
 
 
-def count_batch(texts: pa.Array, path: str, table: LengthTable | None, limit: int = common.CHUNK_BYTES) -> np.ndarray:
+def count_batch(texts: pa.Array, path: str, table: LengthTable | None, limit: int = CHUNK_BYTES) -> np.ndarray:
     """Token counts of the texts of a column."""
     tier2 = lengths(path)
     out = np.zeros(len(texts), np.int64)
@@ -245,7 +245,7 @@ def count_batch(texts: pa.Array, path: str, table: LengthTable | None, limit: in
         for i, t in enumerate(texts):
             out[i] = tier2.encode([t.as_py() or ""])[0]
         return out
-    data, offsets = common.text_buffer(texts)
+    data, offsets = text_buffer(texts)
     for i, at, off in _parts(data, offsets, limit):
         part = data[at : at + int(off[-1])]
         if len(off) == 2 and len(part) > 4 * limit:  # a run without white space: no cut is safe to make here
@@ -277,10 +277,10 @@ def _sampled(path: str, entries: int) -> Callable:
         keys = checks = np.zeros(0, np.uint64)
         size = counts = np.zeros(0, np.int64)
         for batch in batches:
-            data, offsets = common.text_buffer(batch.column(0))
-            for _, at, off in _parts(data, offsets, common.CHUNK_BYTES):
+            data, offsets = text_buffer(batch.column(0))
+            for _, at, off in _parts(data, offsets, CHUNK_BYTES):
                 part = data[at : at + int(off[-1])]
-                if len(part) > 4 * common.CHUNK_BYTES:
+                if len(part) > 4 * CHUNK_BYTES:
                     continue
                 w = pretokens(part, off)
                 key, check = _hashed(w)
@@ -296,7 +296,7 @@ def _sampled(path: str, entries: int) -> Callable:
                     top = np.argsort(-counts, kind="stable")[:entries]
                     keys, checks, size, counts = keys[top], checks[top], size[top], counts[top]
         if len(keys):
-            yield pa.RecordBatch.from_arrays([common.signed(keys), common.signed(checks), pa.array(size), pa.array(counts)], schema=schema)
+            yield pa.RecordBatch.from_arrays([signed(keys), signed(checks), pa.array(size), pa.array(counts)], schema=schema)
 
     return run
 
@@ -323,13 +323,15 @@ def frequent(docs: DataFrame, path: str, text: str = "text", entries: int = TABL
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text", doc_id: str = "doc_id", table: LengthTable | None = None) -> DataFrame:
     """A row per document: doc_id, n_bytes (UTF-8), n_tokens (as the library of the vocabulary file `path` gives them,
     without added tokens) and over_limit (n_tokens > limit)."""
-    share = docs.sparkSession.sparkContext.broadcast(table if table is not None else frequent(docs, path, text))
+    table = table if table is not None else frequent(docs, path, text)
+    share = docs.sparkSession.sparkContext.broadcast((table.key, table.check, table.length, table.probes))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tier1 = LengthTable(*share.value)
         for batch in batches:
-            _, offsets = common.text_buffer(batch.column(1))
-            n = count_batch(batch.column(1), path, share.value)
+            _, offsets = text_buffer(batch.column(1))
+            n = count_batch(batch.column(1), path, tier1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], schema=schema)
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, OUT)
