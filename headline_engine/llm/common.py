@@ -288,3 +288,9 @@ def durable(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own in the shared folder, by whatever file system Spark has for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -90,3 +90,31 @@ deg AS (SELECT a AS rep, count(*) AS n_links FROM both_ways GROUP BY a)
 SELECT d.doc_id, coalesce(grp.class_id, c.rep) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, c.rep AS same_text_id, c.n_same_text::BIGINT AS n_same_text
 FROM dw d JOIN cls c ON c.k = array_to_string(d.ws, ' ') LEFT JOIN grp ON grp.rep = c.rep LEFT JOIN deg ON deg.rep = c.rep""",
 }
+
+
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """op12: rounds unrolled; a nearest entry is the smallest (squared distance, index), squared distances are exact in doubles."""
+    out = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT vec_id, label, q, v[q * len(v) // {parts} + 1:(q + 1) * len(v) // {parts}]::DOUBLE[] AS p FROM kept, range({parts}) t(q)),
+c0 AS MATERIALIZED (SELECT q, e, p AS c FROM (SELECT q, p, row_number() OVER (PARTITION BY q ORDER BY vec_id) - 1 AS e FROM cut) WHERE e < {entries})"""]
+    for r in range(rounds + 1):
+        out.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, q, any_value(p) AS p,
+  min({{'d': list_inner_product(p, p) - 2 * list_inner_product(p, c) + list_inner_product(c, c), 'e': e}}) AS m FROM cut JOIN c{r} USING (q) GROUP BY vec_id, q)""")
+        if r < rounds:
+            out.append(f"""
+s{r} AS (SELECT q, m.e AS e, i, sum(p[i]::BIGINT)::BIGINT AS s, count(*) AS n FROM a{r}, range(1, (SELECT max(len(p)) FROM cut) + 1) t(i) GROUP BY 1, 2, 3),
+n{r} AS (SELECT q, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS c FROM s{r} GROUP BY q, e),
+c{r + 1} AS MATERIALIZED (SELECT q, e, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN n{r} n USING (q, e))""")
+    out.append(f"""
+f AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', m.e::INTEGER), '' ORDER BY q) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY q, e, i)) FROM (SELECT q, e, unnest(c) AS x, unnest(range(len(c))) AS i FROM c{rounds})) AS codebooks_sha256
+FROM f""")
+    return ",".join(out)
+
+
+SQL["op12_vector_codes"] = _vector_codes()

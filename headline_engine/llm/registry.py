@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headline_engine.llm import common, decontaminate, fingerprint, langid, linechunks, lmscore, ngramjoin, oracle, packing, substrings, tokencounts, tokenfile, tokens, warc
+from headline_engine.llm import common, decontaminate, fingerprint, langid, linechunks, lmscore, ngramjoin, oracle, packing, substrings, tokencounts, tokenfile, tokens, vectorcodes, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -62,11 +62,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.report(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.report(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(_documents(spark, sf_dir, "doc_id", "text"), tokens.tokenizer_path("word_bpe_49k.json"))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_lm_scores, op4_packing, op5_warc, op6_language,
-                                   op7_token_files, op8_substring_dedup, op9_line_dedup, op10_ngram_join, op13_token_counts)}
+                                   op7_token_files, op8_substring_dedup, op9_line_dedup, op10_ngram_join, op12_vector_codes, op13_token_counts)}
 
 ORACLE_SQL = oracle.SQL
