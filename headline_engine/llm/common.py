@@ -285,9 +285,14 @@ def open_fs(uri: str):
 def durable(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage, survives lost executors, and gives the
     planner true sizes."""
+    return saved(df)[0]
+
+
+def saved(df: DataFrame) -> tuple[DataFrame, str]:
+    """As durable, with the folder, for tables that are deleted (delete_dir) once nothing needs them."""
     path = shared_dir(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def delete_dir(spark: SparkSession, path: str) -> None:

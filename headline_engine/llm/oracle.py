@@ -118,3 +118,26 @@ FROM f""")
 
 
 SQL["op12_vector_codes"] = _vector_codes()
+
+#: op11: crc32 bit by bit; a prefix is the chain of its turns' md5s; subtree totals go to every prefix of a node.
+SQL["op11_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+sz AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+hs AS (SELECT conv_id, n, conv_id - conv_id % 20 AS donor, xor(list_reduce(list_concat([4294967295::BIGINT],
+      list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda acc, byte:
+      list_reduce(list_concat([xor(acc, byte)], range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT) % 4 AS h FROM sz),
+info AS (SELECT hs.conv_id, donor, h, hs.n, least(h, coalesce(d.n, 0)) AS k FROM hs LEFT JOIN sz d ON d.conv_id = donor),
+reb AS (SELECT t.conv_id, pos - h + k AS d, r, x FROM t JOIN info USING (conv_id) WHERE pos > h
+  UNION ALL SELECT i.conv_id, pos, r, x FROM info i JOIN t ON t.conv_id = i.donor AND t.pos <= i.k),
+pre AS (SELECT conv_id, d, string_agg(md5(length(r) || ':' || r || x), '') OVER (PARTITION BY conv_id ORDER BY d) AS k,
+  len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words, max(d) OVER (PARTITION BY conv_id) = d AS last FROM reb
+  UNION ALL SELECT conv_id, 0, '', 0, conv_id NOT IN (SELECT conv_id FROM reb) FROM info),
+node AS (SELECT k, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(words) AS words,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM pre GROUP BY k),
+kid AS (SELECT k[1:length(k) - 32] AS k, count(*) AS n_children FROM node WHERE k <> '' GROUP BY 1),
+sub AS (SELECT p.k, count(*) FILTER (WHERE kid.k IS NULL) AS n_leaves, sum((u.n_convs - 1) * u.words) AS saved_tokens
+  FROM node u JOIN pre p ON p.conv_id = u.conv_id AND p.d <= u.depth LEFT JOIN kid ON kid.k = u.k GROUP BY p.k)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM node n JOIN sub USING (k) LEFT JOIN kid USING (k) LEFT JOIN node up ON n.k <> '' AND up.k = n.k[1:length(n.k) - 32]"""

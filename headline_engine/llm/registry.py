@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headline_engine.llm import common, decontaminate, fingerprint, langid, linechunks, lmscore, ngramjoin, oracle, packing, substrings, tokencounts, tokenfile, tokens, vectorcodes, warc
+from headline_engine.llm import common, decontaminate, fingerprint, langid, linechunks, lmscore, ngramjoin, oracle, packing, prefixtrie, substrings, tokencounts, tokenfile, tokens, vectorcodes, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.report(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.report(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -71,6 +75,6 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_lm_scores, op4_packing, op5_warc, op6_language,
-                                   op7_token_files, op8_substring_dedup, op9_line_dedup, op10_ngram_join, op12_vector_codes, op13_token_counts)}
+                                   op7_token_files, op8_substring_dedup, op9_line_dedup, op10_ngram_join, op11_prefix_trie, op12_vector_codes, op13_token_counts)}
 
 ORACLE_SQL = oracle.SQL
