@@ -58,6 +58,7 @@ def turns(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn"
         F.col(conv_id).cast("bigint").alias("conv_id"), F.col(turn).alias("turn"), role_.alias("role"), F.md5(text_).alias("tm"),
         F.unhex(F.md5(F.concat(F.octet_length(role_).cast("string"), F.lit(":"), role_, text_))).alias("digest"),
         F.regexp_count(text_, F.lit(WORDS)).cast("bigint").alias("words"))
+    t, _ = saved(t)  # the range partitioning reads its input twice: once for the bounds
     order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), "role", "tm"]
     return t.repartitionByRange(*order).sortWithinPartitions(*order).select(
         "conv_id", F.monotonically_increasing_id().alias("mid"), "digest", "words")
