@@ -10,11 +10,22 @@ For the hybrid near-duplicate similarity with threshold 0.8 and unequal keys,
 0.6J + 0.4L > 0.8 with L < 1 forces J > 2/3, so t = (thr - 0.4) / 0.6.
 
 Titles can be long (whole paragraphs), so every distinct (scope, title) becomes
-a unit with a deterministic 128-bit hash as id (nothing is written to hold it);
-the token join and the pair dedup move only hashes, and the titles, keys and
-token sets are attached to the surviving candidates only. Where equal keys are
-not wanted, the key's hash is part of the join condition, so a key that many
-titles share yields no candidate among them.
+a unit with a deterministic 128-bit hash as id; the units are written once, and
+the token join and the pair dedup move only hashes; the titles, keys and token
+sets are attached to the surviving candidates only. Where equal keys are not
+wanted, the key's hash is part of the join condition, so a key that many titles
+share yields no candidate among them.
+
+A token that more than BLOCK_ROWS rows of a scope share is heavy: its rows are
+dealt into blocks of about BLOCK_ROWS rows by a hash of the unit, and every pair
+of blocks is joined once under a key of its own, so no task holds more than a
+pair of blocks of one token. All other tokens join as they are.
+
+History (J4) is joined by presence sessions: a title seen again and again has one
+row per session, not one per crawl. "Seen in (T - window, T)" is "T lies in
+(first_ts, last_ts + window)"; a session of length up to 2^level windows lies in
+at most two buckets of 2^level windows, and a crawl looks up its time once per
+level, so the point-in-interval test is an equi-join whatever the length.
 """
 
 from __future__ import annotations
@@ -27,6 +38,13 @@ from headline_engine.functions.similarity import (
     hybrid_sim, jaccard, length_ok, min_jaccard, position_ok, prefix_len, size_ok,
 )
 from headline_engine.functions.text import title_key, tokens
+from headline_engine.operators.novelty import presence_sessions
+from headline_engine.session import written
+
+#: Rows of one token in one scope beyond which it is dealt into blocks, and rows of a block (expected).
+BLOCK_ROWS = 2000
+#: Levels of session lengths that cover any archive (2^16 windows).
+MOST_LEVELS = 16
 
 
 def units(df: DataFrame, scope: list[str], cfg: EngineConfig, title: str = "title") -> DataFrame:
@@ -61,22 +79,60 @@ def prefixes(u: DataFrame, scope: list[str], t: float, order: DataFrame) -> Data
     return ex.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= prefix_len("n_tok", t)).drop("df")
 
 
+def heavy_keys(left: DataFrame, right: DataFrame, keys: list[str], self_join: bool, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(keys..., blocks_a, blocks_b): the keys that more than `rows` rows of a side share, where both sides have them.
+    Counts combine map-side, so a hot key costs a row a task."""
+    a = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_na"))
+    if self_join:
+        n = a.withColumn("_nb", F.col("_na"))
+    else:
+        n = a.join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb")), keys)
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(rows)).cast("int")
+    return n.where((F.col("_na") > rows) | (F.col("_nb") > rows)).select(*keys, blocks("_na").alias("blocks_a"), blocks("_nb").alias("blocks_b"))
+
+
+def token_join(left: DataFrame, right: DataFrame, keys: list[str], cond, self_join: bool, rows: int = BLOCK_ROWS) -> DataFrame:
+    """left (keys..., uid_a, ...) and right (keys..., uid_b, ...) with equal keys and `cond`; in a self join each unordered
+    pair of different units comes once, in either order of the sides. Both sides should be written tables."""
+    once = (F.col("uid_a") < F.col("uid_b")) if self_join else F.lit(True)
+    heavy = written(heavy_keys(left, right, keys, self_join, rows))
+    if heavy.isEmpty():
+        return left.join(right, keys).where(cond & once)
+    light = left.join(heavy.select(*keys), keys, "left_anti").join(right, keys).where(cond & once)
+    block = lambda uid, n: F.pmod(F.xxhash64(uid), F.col(n)).cast("int")
+    a = left.join(heavy, keys).withColumn("_i", block("uid_a", "blocks_a"))
+    b = right.join(heavy, keys).withColumn("_j", block("uid_b", "blocks_b"))
+    if self_join:  # blocks i <= j meet once; inside a block the ids order a pair
+        a = a.withColumn("_j", F.explode(F.sequence("_i", F.col("blocks_b") - 1)))
+        b = b.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j"))))
+        once = (F.col("_i") < F.col("_j")) | once
+    else:
+        a = a.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)))
+        b = b.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)))
+    a, b = a.drop("blocks_a", "blocks_b"), b.drop("blocks_a", "blocks_b")
+    return light.unionByName(a.join(b, [*keys, "_i", "_j"]).where(cond & once).drop("_i", "_j"))
+
+
+def _side(p: DataFrame, keys: list[str], side: str, *extra: str) -> DataFrame:
+    """Prefix rows as one side of a token join: uid, kid, n_tok, key_len and pos under names of their own."""
+    names = {"uid": "uid_", "kid": "k", "n_tok": "n", "key_len": "l", "pos": "p"}
+    return p.select(*keys, *extra, *[F.col(c).alias(n + side) for c, n in names.items()])
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, join_keys: list[str], t: float, cfg: EngineConfig,
-                    self_join: bool, guard_length: bool = True, unequal_keys: bool = False) -> DataFrame:
+                    self_join: bool, guard_length: bool = True, unequal_keys: bool = False, rows: int = BLOCK_ROWS) -> DataFrame:
     """Distinct (join_keys minus tok..., uid_a, uid_b) sharing a prefix token within the size/length bounds."""
-    a = left.select(*join_keys, F.col("kid").alias("ka"), F.col("uid").alias("uid_a"), F.col("n_tok").alias("na"), F.col("key_len").alias("la"),
-                    F.col("pos").alias("pa"))
-    b = right.select(*join_keys, F.col("kid").alias("kb"), F.col("uid").alias("uid_b"), F.col("n_tok").alias("nb"), F.col("key_len").alias("lb"),
-                     F.col("pos").alias("pb"))
+    a, b = _side(left, join_keys, "a"), _side(right, join_keys, "b")
     cond = size_ok("na", "nb", t) & position_ok("pa", "na", "pb", "nb", t)
     if guard_length:
         cond = cond & length_ok("la", "lb", cfg)
-    if self_join:
-        cond = cond & (F.col("uid_a") < F.col("uid_b"))
     if unequal_keys:
         cond = cond & (F.col("ka") != F.col("kb"))
     keep = [c for c in join_keys if c != "tok"]
-    return a.join(b, join_keys).where(cond).select(*keep, "uid_a", "uid_b").distinct()
+    pairs = token_join(a, b, join_keys, cond, self_join, rows).select(*keep, "uid_a", "uid_b")
+    if self_join:
+        pairs = pairs.select(*keep, F.least("uid_a", "uid_b").alias("uid_a"), F.greatest("uid_a", "uid_b").alias("uid_b"))
+    return pairs.distinct()
 
 
 def attach(pairs: DataFrame, ua: DataFrame, ub: DataFrame) -> DataFrame:
@@ -102,8 +158,8 @@ def near_dup_edges(df: DataFrame, scope: list[str], cfg: EngineConfig = EngineCo
     not emitted, so a key shared by many titles never yields all its pairs.
     """
     t = min_jaccard(cfg)
-    u = units(df, scope, cfg).where(F.col("n_tok") > 0)
-    p = prefixes(u, scope, t, token_order(u))
+    u = written(units(df, scope, cfg).where(F.col("n_tok") > 0))
+    p = written(prefixes(u, scope, t, written(token_order(u))))
     pairs = candidate_pairs(p, p, scope + ["tok"], t, cfg, self_join=True, unequal_keys=True)
     v = attach(pairs, u, u).where(F.col("key_a") != F.col("key_b"))
     sim = hybrid_sim("key_a", "key_b", "tok_a", "tok_b", "la", "lb", cfg)
@@ -113,57 +169,71 @@ def near_dup_edges(df: DataFrame, scope: list[str], cfg: EngineConfig = EngineCo
 
 def jaccard_pairs(df: DataFrame, scope: list[str], t: float, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """(scope..., title_a < title_b, jaccard) with Jaccard > t (tokens per cfg.token_mode)."""
-    u = units(df, scope, cfg).where(F.col("n_tok") > 0)
-    return jaccard_pairs_of_units(u, scope, t, cfg, token_order(u))
-
-
-def jaccard_pairs_of_units(u: DataFrame, scope: list[str], t: float, cfg: EngineConfig, order: DataFrame) -> DataFrame:
-    """jaccard_pairs over an existing unit table; any consistent token order keeps the filter exact."""
-    p = prefixes(u, scope, t, order)
+    u = written(units(df, scope, cfg).where(F.col("n_tok") > 0))
+    p = written(prefixes(u, scope, t, written(token_order(u))))
     pairs = candidate_pairs(p, p, scope + ["tok"], t, cfg, self_join=True, guard_length=False)
     v = attach(pairs, u, u)
     e = v.withColumn("jaccard", jaccard("tok_a", "tok_b")).where(F.col("jaccard") > F.lit(t))
     return _ordered(e, scope, "jaccard")
 
 
-def _week(ts_col, days: int):
-    return F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / F.lit(days * 86400 * 1_000_000)).cast("bigint")
+def _micros(ts) -> F.Column:
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
+def session_buckets(sessions: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """Sessions (first_ts, last_ts, ...) with `level` and `bucket` added: at most two rows each. Level l holds the intervals
+    (first_ts, last_ts + window) of at most 2^l windows; its buckets are that wide."""
+    width = cfg.history_days * 86_400_000_000
+    start = _micros("first_ts")
+    end = _micros("last_ts") + F.lit(width)
+    s = sessions.withColumn("level", F.ceil(F.log2((end - start) / F.lit(width)) - F.lit(1e-12)).cast("int"))
+    step = F.lit(width) * F.pow(F.lit(2), F.col("level")).cast("bigint")
+    return s.withColumn("bucket", F.explode(F.sequence(F.floor(start / step).cast("bigint"), F.floor((end - F.lit(1)) / step).cast("bigint"))))
+
+
+def point_buckets(points: DataFrame, ts: str, levels: int, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """Points with the bucket of `ts` on every level up to `levels` (a row each)."""
+    width = cfg.history_days * 86_400_000_000
+    p = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    return p.withColumn("bucket", F.floor(_micros(ts) / (F.lit(width) * F.pow(F.lit(2), F.col("level")).cast("bigint"))).cast("bigint"))
+
+
+def live_at(ts: str, cfg: EngineConfig = EngineConfig()) -> F.Column:
+    """The session's title is in the history of a crawl at `ts` (open window)."""
+    return (F.col("first_ts") < F.col(ts)) & (F.col(ts) < F.col("last_ts") + F.make_interval(days=F.lit(cfg.history_days)))
+
+
+def history_prefixes(sessions: DataFrame, hu: DataFrame, t: float, order: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """Prefix rows of the history titles, one per session and bucket (so at most two rows per session and prefix token)."""
+    s = session_buckets(sessions, cfg).join(hu.select("title", "uid"), "title").drop("title", "sightings")
+    return prefixes(hu, [], t, order).join(s, "uid")
 
 
 def near_dup_vs_history(items: DataFrame, history: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Items (crawl_id, crawl_ts, title, ...) with `hist_dup` = some history title
     seen in (crawl_ts - window, crawl_ts) has hybrid similarity > threshold.
-
-    History units only meet items of the same or the next window-wide time
-    bucket, so an item never meets history older than two windows.
     """
     t = min_jaccard(cfg)
-    days = cfg.history_days
-    every = units(items, ["crawl_id", "crawl_ts"], cfg)
-    iu = every.where(F.col("n_tok") > 0)
-    # A history title is tokenised and ranked once; its prefix rows go to the weeks in which it was seen.
-    seen = history.select(F.col("crawl_ts").alias("h_ts"), "title").distinct()
-    past = units(seen, [], cfg)
-    hu = past.where(F.col("n_tok") > 0)
-    order = token_order(iu.select("toks").unionByName(hu.select("toks")))
-    ip = prefixes(iu, ["crawl_id", "crawl_ts"], t, order).withColumn("wk", _week("crawl_ts", days))
-    hp = prefixes(hu, [], t, order).join(seen.join(hu.select("title", "uid"), "title").select("uid", "h_ts"), "uid")
-    hp = hp.withColumn("wk", F.explode(F.array(_week("h_ts", days), _week("h_ts", days) + 1)))
-    a = ip.select("crawl_ts", "wk", "tok", F.col("uid").alias("uid_a"), F.col("n_tok").alias("na"), F.col("key_len").alias("la"),
-                  F.col("pos").alias("pa"))
-    b = hp.select("wk", "tok", "h_ts", F.col("uid").alias("uid_b"), F.col("n_tok").alias("nb"), F.col("key_len").alias("lb"),
-                  F.col("pos").alias("pb"))
-    lo = F.col("crawl_ts") - F.make_interval(days=F.lit(days))
-    cond = (size_ok("na", "nb", t) & position_ok("pa", "na", "pb", "nb", t) & length_ok("la", "lb", cfg)
-            & (F.col("h_ts") > lo) & (F.col("h_ts") < F.col("crawl_ts")))
-    pairs = a.join(b, ["wk", "tok"]).where(cond).select("uid_a", "uid_b").distinct()
+    sessions = written(presence_sessions(history.select("crawl_ts", "title").distinct(), "title", "crawl_ts", cfg))
+    every = written(units(items, ["crawl_id", "crawl_ts"], cfg))
+    past = written(units(sessions, [], cfg))
+    iu, hu = every.where(F.col("n_tok") > 0), past.where(F.col("n_tok") > 0)
+    levels = session_buckets(sessions, cfg).agg(F.max("level")).first()[0] or 0
+    order = written(token_order(iu.select("toks").unionByName(hu.select("toks"))))
+    keys = ["level", "bucket", "tok"]
+    ip = written(prefixes(iu, ["crawl_id", "crawl_ts"], t, order))
+    a = _side(point_buckets(ip, "crawl_ts", levels, cfg), keys, "a", "crawl_ts")
+    b = _side(written(history_prefixes(sessions, hu, t, order, cfg)), keys, "b", "first_ts", "last_ts")
+    cond = size_ok("na", "nb", t) & position_ok("pa", "na", "pb", "nb", t) & length_ok("la", "lb", cfg) & live_at("crawl_ts", cfg)
+    pairs = token_join(a, b, keys, cond, self_join=False).select("uid_a", "uid_b").distinct()
     v = attach(pairs, iu, hu)
     sim = hybrid_sim("key_a", "key_b", "tok_a", "tok_b", "la", "lb", cfg)
     dup_ids = v.where(sim > F.lit(cfg.near_dup_threshold)).select(F.col("uid_a").alias("uid")).distinct()
     # Titles without tokens meet no one in the token join: with equal keys their similarity is 1.
-    bare = past.where(F.col("n_tok") == 0).join(seen, "title").select("kid", "title_key", "h_ts").distinct()
-    bare = bare.withColumn("wk", F.explode(F.array(_week("h_ts", days), _week("h_ts", days) + 1)))
-    bare = every.where(F.col("n_tok") == 0).withColumn("wk", _week("crawl_ts", days)).join(bare, ["kid", "title_key", "wk"])
-    bare = bare.where((F.col("h_ts") > lo) & (F.col("h_ts") < F.col("crawl_ts"))).select("crawl_id", "title")
+    bare = history.select("crawl_ts", "title").join(past.where(F.col("n_tok") == 0).select("title", "title_key"), "title")
+    bare = session_buckets(presence_sessions(bare, "title_key", "crawl_ts", cfg), cfg).drop("sightings")
+    bare = point_buckets(every.where(F.col("n_tok") == 0), "crawl_ts", MOST_LEVELS, cfg).join(bare, ["title_key", "level", "bucket"])
+    bare = bare.where(live_at("crawl_ts", cfg)).select("crawl_id", "title")
     dups = iu.join(dup_ids, "uid").select("crawl_id", "title").unionByName(bare).distinct().withColumn("hist_dup", F.lit(True))
     return items.join(dups, ["crawl_id", "title"], "left").withColumn("hist_dup", F.coalesce("hist_dup", F.lit(False)))

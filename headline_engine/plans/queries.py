@@ -17,6 +17,7 @@ from headline_engine.functions.text import title_key, tokens
 from headline_engine.operators import dedup, feed, language, logs, match, messages, novelty as nov, report, review, simjoin
 from headline_engine.functions.text import escape_html, is_english, mode_label, report_line, strip_markdown
 from headline_engine.functions.timefmt import day_key, from_utc_wall
+from headline_engine.session import written
 from headline_engine.sources import adapters as A
 from headline_engine.sources.rules import group_caps, load_rules
 
@@ -30,7 +31,7 @@ def _r(col, places: int = 9):
 # ---------------------------------------------------------------- building blocks
 # Base frames are built once per (session, tables, config) and reused inside a
 # query, so a plan that reads the report items several times shares one
-# subtree; every registered query call starts with an empty memo. The report items (bounded by caps x crawls) are checkpointed to the
+# subtree; every registered query call starts with an empty memo. The report items (bounded by caps x crawls) are written to the
 # session's checkpoint folder, which also cuts their lineage.
 
 _MEMO: dict = {}
@@ -48,7 +49,12 @@ def _memo(kind: str, spark: SparkSession, sf_dir: str, cfg: EngineConfig, build)
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo("snapshots", spark, sf_dir, CFG, lambda: A.documents_snapshots(spark, sf_dir))
+    return _memo("snapshots", spark, sf_dir, CFG, lambda: A.documents_snapshots(spark, sf_dir, crawl_numbers(spark, sf_dir)))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshots without their items' text (S3 needs to know only that there are any)."""
+    return crawl_numbers(spark, sf_dir).select("crawl_id", "crawl_ts", "platform_id", F.lit("success").alias("status"), F.col("has_items").alias("answered"))
 
 
 def platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,27 +71,32 @@ def rules_of(spark: SparkSession, cfg: EngineConfig = CFG):
     return _memo("rules", spark, "", cfg, lambda: load_rules(spark, cfg.rules_text))
 
 
+def crawl_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(platform_id, doc_id, crawl_id, crawl_ts) of every response (written: narrow, and read by many parts of a plan)."""
+    return _memo("numbers", spark, sf_dir, CFG, lambda: written(A.documents_crawls(spark, sf_dir)))
+
+
 def matched_headlines(spark: SparkSession, sf_dir: str, cfg: EngineConfig = CFG) -> DataFrame:
+    """The matches of every crawl. Responses are collapsed and matched on the scan, and only what matches meets the crawl
+    numbers, so no text is shuffled."""
     rules, filters = rules_of(spark, cfg)
-    return match.matched(headlines(spark, sf_dir, cfg), rules, filters)
+    h = feed.with_platforms(feed.collapse_items(A.documents_responses(spark, sf_dir), cfg), platforms(spark, sf_dir))
+    m = match.matched(h, rules, filters).withColumnRenamed("crawl_id", "doc_id").drop("crawl_ts")
+    return m.join(crawl_numbers(spark, sf_dir), ["platform_id", "doc_id"]).drop("doc_id")
 
 
 def capped(spark: SparkSession, sf_dir: str, cfg: EngineConfig = CFG) -> DataFrame:
-    """M5 after W1: the per-crawl report items (checkpointed)."""
+    """M5 after W1: the per-crawl report items (written)."""
     def build():
-        from headline_engine.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(spark)
-        rules, filters = rules_of(spark, cfg)
-        m = match.matched(headlines(spark, sf_dir, cfg), rules, filters)
-        return match.top_per_group(m, rules, cfg).checkpoint(eager=True)
+        rules, _ = rules_of(spark, cfg)
+        return written(match.top_per_group(matched_headlines(spark, sf_dir, cfg), rules, cfg))
 
     return _memo("capped", spark, sf_dir, cfg, build)
 
 
 def crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawls that have a report: at least one registry platform answered (S3)."""
-    return report.crawl_outcome(snapshots(spark, sf_dir), platforms(spark, sf_dir)).where("has_report").select("crawl_id", "crawl_ts")
+    return report.crawl_outcome(responses(spark, sf_dir), platforms(spark, sf_dir)).where("has_report").select("crawl_id", "crawl_ts")
 
 
 def totals_of(spark: SparkSession, sf_dir: str, cfg: EngineConfig = CFG) -> DataFrame:
@@ -187,7 +198,7 @@ def q_report_latest_per_day(spark, sf_dir):
 
 def q_crawl_outcome(spark, sf_dir):
     """S3: ok / failed registry platforms per crawl."""
-    o = report.crawl_outcome(snapshots(spark, sf_dir), platforms(spark, sf_dir))
+    o = report.crawl_outcome(responses(spark, sf_dir), platforms(spark, sf_dir))
     return o.select("crawl_id", "ok_platforms", "failed_platforms", "has_report")
 
 
@@ -236,7 +247,7 @@ def q_strict_dedup(spark, sf_dir):
 
 def _as_of(spark, sf_dir):
     """As-of time of the history queries: one hour after the last crawl (a manual push)."""
-    last = snapshots(spark, sf_dir).agg(F.max("crawl_ts")).first()[0]
+    last = crawl_numbers(spark, sf_dir).agg(F.max("crawl_ts")).first()[0]
     return F.lit(last).cast("timestamp") + F.expr("INTERVAL 1 HOUR")
 
 
@@ -296,7 +307,7 @@ def q_push_decision(spark, sf_dir):
 def q_crawl_summary(spark, sf_dir):
     """Totals, platform outcome and push decision per crawl."""
     t = totals_of(spark, sf_dir).select("crawl_id", "total_news", "hot_news")
-    o = report.crawl_outcome(snapshots(spark, sf_dir), platforms(spark, sf_dir))
+    o = report.crawl_outcome(responses(spark, sf_dir), platforms(spark, sf_dir))
     p = report.push_decision(new_counts(spark, sf_dir), CFG)
     return o.join(t, "crawl_id", "left").join(p, "crawl_id", "left").select(
         "crawl_id", F.coalesce("total_news", F.lit(0)).alias("total_news"), F.coalesce("hot_news", F.lit(0)).alias("hot_news"),
@@ -337,14 +348,14 @@ def q_near_dup_edges_global(spark, sf_dir):
 
 
 def dedup_input(spark, sf_dir, cfg: EngineConfig = CFG):
-    """G2 input: new report items, first per key in flatten order (W2), with J4 flags (checkpointed)."""
+    """G2 input: new report items, first per key in flatten order (W2), with J4 flags (written)."""
     def build():
         c = report_items_new(spark, sf_dir, cfg)
         hist = nov.history_rows(capped(spark, sf_dir, cfg)).select("crawl_ts", "title")
         items = c.where("is_new")
         w = Window.partitionBy("crawl_id", "title_key").orderBy("key_ord", "rank_in_group")
         items = items.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-        return simjoin.near_dup_vs_history(items, hist, cfg).checkpoint(eager=True)
+        return written(simjoin.near_dup_vs_history(written(items), hist, cfg))
 
     return _memo("dedup_input", spark, sf_dir, cfg, build)
 
@@ -374,8 +385,8 @@ def q_simple_dedup(spark, sf_dir):
 
 
 def candidate_list(spark, sf_dir, cfg: EngineConfig = CFG):
-    """The reviewer's input (G2): the greedy result, its slot as list position (checkpointed)."""
-    return _memo("candidates", spark, sf_dir, cfg, lambda: greedy_frame(spark, sf_dir, cfg).withColumn("pos", F.col("slot")).checkpoint(eager=True))
+    """The reviewer's input (G2): the greedy result, its slot as list position (written)."""
+    return _memo("candidates", spark, sf_dir, cfg, lambda: written(greedy_frame(spark, sf_dir, cfg).withColumn("pos", F.col("slot"))))
 
 
 def _history_report_rows(spark, sf_dir, cfg: EngineConfig = CFG):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "headline_engine") -> SparkSession:
@@ -42,3 +43,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="hl-ckpt-", dir=os.environ.get("HL_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table written to the shared checkpoint folder and read back: cuts lineage, is computed once however often it is
+    read, survives lost executors, and gives the planner true sizes and column pruning (checkpoint() gives neither)."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

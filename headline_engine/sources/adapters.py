@@ -34,17 +34,17 @@ def _bucket(x: F.Column, bounds: list, lo: int, hi: int) -> F.Column:
     return F.when(x >= F.lit(bounds[m]), _bucket(x, bounds, m + 1, hi)).otherwise(_bucket(x, bounds, lo, m))
 
 
-def ordinal_within(df: DataFrame, key: str, order: str, buckets: int | None = None) -> DataFrame:
-    """Return (key, order, ordinal): 1-based row number of `order` within `key`.
+def ordinal_within(df: DataFrame, key: str, order: str, buckets: int | None = None, keep: tuple = ()) -> DataFrame:
+    """Return (key, order, keep..., ordinal): 1-based row number of `order` within `key`.
 
     A window partitioned by `key` alone runs each key in one task, so a key
     holding a third of the rows would stall. Rows are first cut into
     `order`-range buckets (approximate quantiles; exactness does not depend on
     them), numbered inside (key, bucket), and shifted by the row counts of the
-    earlier buckets of the same key. Only (key, order) is shuffled.
+    earlier buckets of the same key. Only (key, order, keep) is shuffled.
     """
     spark = df.sparkSession
-    narrow = df.select(key, order)
+    narrow = df.select(key, order, *keep)
     # One bucket per ROWS_PER_BUCKET rows (the shuffle partitions at least), with quantile errors well under a bucket.
     nb = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-narrow.count() // ROWS_PER_BUCKET))
     bounds = sorted(set(narrow.approxQuantile(order, [i / nb for i in range(1, nb)], 1 / (8 * nb)))) if nb > 1 else []
@@ -57,7 +57,7 @@ def ordinal_within(df: DataFrame, key: str, order: str, buckets: int | None = No
     return (
         narrow.withColumn("_rn", rn)
         .join(offsets, [key, "_b"])
-        .select(key, order, (F.col("_off") + F.col("_rn")).cast("bigint").alias("ordinal"))
+        .select(key, order, *keep, (F.col("_off") + F.col("_rn")).cast("bigint").alias("ordinal"))
     )
 
 
@@ -77,25 +77,36 @@ def platforms_from_sources(df: DataFrame, col: str = "source") -> DataFrame:
     )
 
 
-def documents_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIXTURES §2.1: crawl_id = row number per source by doc_id, 12 h apart from 2024-01-01."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    ords = ordinal_within(docs, "source", "doc_id")
-    # The id map has one row per document: at scale it is never broadcast. The hint
-    # keeps the (spilling) sort-merge plan at every size and so spreads the
-    # per-response work over the shuffle partitions.
-    return docs.join(ords.hint("merge"), ["source", "doc_id"]).select(
-        F.col("ordinal").alias("crawl_id"),
-        crawl_ts_of("ordinal").alias("crawl_ts"),
-        F.col("source").alias("platform_id"),
-        F.lit("success").alias("status"),
-        F.transform(
-            F.split(F.col("text"), "\n"),
-            lambda line: F.struct(line.alias("title"), F.lit("").alias("url"), F.lit("").alias("mobileUrl")),
-        ).alias("items"),
+def _items(text: str) -> F.Column:
+    return F.transform(
+        F.split(F.col(text), "\n"),
+        lambda line: F.struct(line.alias("title"), F.lit("").alias("url"), F.lit("").alias("mobileUrl")),
     )
 
 
+def documents_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIXTURES §2.1: (platform_id, doc_id, crawl_id, crawl_ts, has_items); crawl_id = row number per source by doc_id,
+    12 h apart from 2024-01-01. No text but its being there is read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").isNotNull().alias("has_items"))
+    ords = ordinal_within(docs, "source", "doc_id", keep=("has_items",))
+    return ords.select(F.col("source").alias("platform_id"), "doc_id", F.col("ordinal").alias("crawl_id"), crawl_ts_of("ordinal").alias("crawl_ts"), "has_items")
+
+
+def documents_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The responses as they are scanned: snapshots whose crawl_id is still the doc_id and whose crawl_ts is null."""
+    return table(spark, sf_dir, "documents").where(F.col("source").isNotNull()).select(
+        F.col("doc_id").alias("crawl_id"), F.lit(None).cast("timestamp").alias("crawl_ts"), F.col("source").alias("platform_id"),
+        F.lit("success").alias("status"), _items("text").alias("items"))
+
+
+def documents_snapshots(spark: SparkSession, sf_dir: str, crawls: DataFrame | None = None) -> DataFrame:
+    """The responses with their crawl (documents_crawls())."""
+    crawls = documents_crawls(spark, sf_dir) if crawls is None else crawls
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("platform_id"), "text")
+    return docs.join(crawls.drop("has_items"), ["platform_id", "doc_id"]).select(
+        "crawl_id", "crawl_ts", "platform_id", F.lit("success").alias("status"), _items("text").alias("items"))
+
+
 def documents_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return platforms_from_sources(table(spark, sf_dir, "documents"), "source")
 
