@@ -644,3 +644,5 @@ SELECT title_key, crawl_id, is_new FROM cnl""",
     "stream_token_daily": with_ctes(TL) + """
 SELECT day, sum(coalesce(total_tokens, 0))::BIGINT AS total_tokens, count(*) AS records FROM tl GROUP BY day""",
 })
+
+SQL["stream_text_report"] = SQL["text_report"]

@@ -555,8 +555,18 @@ def q_stream_novelty(spark, sf_dir):
 
     base = stream.scratch_dir(spark, "crawl-stream")
     stream.stage_snapshot_files(snapshots(spark, sf_dir), f"{base}/src", batches=3)
-    stream.run_crawl_stream(spark, f"{base}/src", f"{base}/out", platforms(spark, sf_dir), CFG)
-    return spark.read.parquet(f"{base}/out/novelty").select("title_key", "crawl_id", "is_new")
+    stream.run_crawl_stream(spark, f"{base}/src", f"{base}/out", platforms(spark, sf_dir), CFG, push=False)
+    return stream.read_stream(spark, f"{base}/out", "novelty", stream.NOVELTY).select("title_key", "crawl_id", "is_new")
+
+
+def q_stream_text_report(spark, sf_dir):
+    """ST1, A10, T2: the archive replayed as a file stream through all stages of the job; the texts of its commits (= batch)."""
+    from headline_engine.streaming import stream
+
+    base = stream.scratch_dir(spark, "crawl-job")
+    stream.stage_snapshot_files(snapshots(spark, sf_dir), f"{base}/src", batches=2)
+    stream.run_crawl_stream(spark, f"{base}/src", f"{base}/out", platforms(spark, sf_dir), CFG, files_per_trigger=10_000)
+    return stream.read_stream(spark, f"{base}/out", "texts", stream.TEXTS).select("crawl_id", F.col("items").cast("bigint").alias("items"), "body")
 
 
 def q_stream_token_daily(spark, sf_dir):
@@ -621,5 +631,6 @@ QUERIES = {
     "channel_conversations": q_channel_conversations,
     "page_lines": q_page_lines,
     "stream_novelty": q_stream_novelty,
+    "stream_text_report": q_stream_text_report,
     "stream_token_daily": q_stream_token_daily,
 }
