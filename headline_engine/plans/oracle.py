@@ -646,3 +646,4 @@ SELECT day, sum(coalesce(total_tokens, 0))::BIGINT AS total_tokens, count(*) AS
 })
 
 SQL["stream_text_report"] = SQL["text_report"]
+SQL["stream_keyed_novelty"] = SQL["stream_novelty"]

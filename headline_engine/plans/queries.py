@@ -569,6 +569,24 @@ def q_stream_text_report(spark, sf_dir):
     return stream.read_stream(spark, f"{base}/out", "texts", stream.TEXTS).select("crawl_id", F.col("items").cast("bigint").alias("items"), "body")
 
 
+def q_stream_keyed_novelty(spark, sf_dir):
+    """ST2: the report items' sightings replayed as files through keyed state with refreshed expiry (= batch W3)."""
+    from headline_engine.streaming import keyed, stream
+
+    base = stream.scratch_dir(spark, "keyed")
+    s = written(capped(spark, sf_dir).select(title_key("title").alias("title_key"), "crawl_id", F.col("crawl_ts").cast("timestamp").alias("crawl_ts")).distinct())
+    lo, hi = s.agg(F.min("crawl_id"), F.max("crawl_id")).first()
+    if lo is not None:
+        step = -(-(hi - lo + 1) // 3)
+        for a in range(lo, hi + 1, step):
+            s.where((F.col("crawl_id") >= a) & (F.col("crawl_id") < a + step)).write.mode("append").parquet(f"{base}/src")
+    for days in (2 * keyed.DELAY, 4 * keyed.DELAY):  # the clock goes on after the last crawl: what waits is decided
+        tick = s.agg((F.max("crawl_ts") + F.make_interval(days=F.lit(days))).alias("crawl_ts"))
+        tick.select(F.lit(None).cast("string").alias("title_key"), F.lit(None).cast("long").alias("crawl_id"), "crawl_ts").write.mode("append").parquet(f"{base}/src")
+        keyed.run_novelty_state(spark, f"{base}/src", f"{base}/out", CFG, files_per_trigger=1000)
+    return spark.read.schema("title_key string, crawl_id long, is_new boolean").parquet(f"{base}/out")
+
+
 def q_stream_token_daily(spark, sf_dir):
     """ST4: daily UTC+8 token totals computed by a streaming window aggregation."""
     from headline_engine.streaming import stream
@@ -632,5 +650,6 @@ QUERIES = {
     "page_lines": q_page_lines,
     "stream_novelty": q_stream_novelty,
     "stream_text_report": q_stream_text_report,
+    "stream_keyed_novelty": q_stream_keyed_novelty,
     "stream_token_daily": q_stream_token_daily,
 }
