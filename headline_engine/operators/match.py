@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headline_engine.config import EngineConfig
+from headline_engine.operators import ruleindex
 from headline_engine.sources.rules import group_caps
 
 
@@ -22,16 +23,25 @@ def drop_excluded(headlines: DataFrame, filters: DataFrame) -> DataFrame:
 def match_rules(headlines: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per (headline, matching group): every required word and,
     if the group has normal words, at least one of them (substring match)."""
-    lt = F.lower(F.col("title"))
+    # A column of its own: an expression inside the lambdas of a nested loop's condition can be bound to one side only.
+    lt = F.col("_lt")
     cond = F.forall("required", lambda w: F.contains(lt, w)) & (
         (F.size("normal") == 0) | F.exists("normal", lambda w: F.contains(lt, w))
     )
     r = rules.select("group_ord", "group_key", "required", "normal")
-    return headlines.join(F.broadcast(r), cond, "inner").drop("required", "normal")
+    return headlines.withColumn("_lt", F.lower("title")).join(F.broadcast(r), cond, "inner").drop("required", "normal", "_lt")
+
+
+def matched_by_index(headlines: DataFrame, rules: DataFrame, filters: DataFrame) -> DataFrame:
+    """The same matches by the gram index of ruleindex: for rule sets that are too large to broadcast and to test one by one."""
+    kept = headlines.join(ruleindex.excluded_titles(headlines, filters), "title", "left_anti")
+    return kept.join(ruleindex.matching_groups(headlines, rules), "title")
 
 
-def matched(headlines: DataFrame, rules: DataFrame, filters: DataFrame) -> DataFrame:
-    """Exclude words first (fail fast), then groups."""
+def matched(headlines: DataFrame, rules: DataFrame, filters: DataFrame, indexed: bool = False) -> DataFrame:
+    """Exclude words first (fail fast), then groups. `indexed`: by the gram index (rules.is_large() of the rule text)."""
+    if indexed:
+        return matched_by_index(headlines, rules, filters).select(*headlines.columns, "group_ord", "group_key")
     return match_rules(drop_excluded(headlines, filters), rules)
 
 
@@ -44,15 +54,16 @@ def group_order(cfg: EngineConfig):
     return [F.col("appearances").desc(), F.col("weight").desc()] + tail
 
 
-def top_per_group(matched_df: DataFrame, rules: DataFrame, cfg: EngineConfig, max_cap: int | None = None) -> DataFrame:
+def top_per_group(matched_df: DataFrame, rules: DataFrame, cfg: EngineConfig, max_cap: int | None = None, indexed: bool = False) -> DataFrame:
     """Keep the first `cap` items per (crawl, group key) in T1 order.
 
     A literal bound next to the per-key cap lets Spark insert a partial
     WindowGroupLimit before the shuffle, so each map task ships at most
-    `max_cap` rows per (crawl, key) instead of every match.
+    `max_cap` rows per (crawl, key) instead of every match. Caps are broadcast unless the rule set is large (`indexed`).
     """
     caps = group_caps(rules, cfg.default_cap)
-    df = matched_df.join(F.broadcast(caps.select("group_key", "key_ord", "cap")), "group_key")
+    few = caps.select("group_key", "key_ord", "cap")
+    df = matched_df.join(few if indexed else F.broadcast(few), "group_key")
     w = Window.partitionBy("crawl_id", "group_key").orderBy(*group_order(cfg))
     ranked = df.withColumn("rank_in_group", F.row_number().over(w))
     if cfg.default_cap <= 0:

@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 from headline_engine.config import DEFAULT_RULES
 from headline_engine.functions.text import JS_SPACE, clean_title
+from headline_engine.session import written
 
-#: Largest rule text that is broadcast.
+#: Largest rule text whose rules are broadcast and tested one by one; beyond it matching goes by the gram index.
 MAX_RULE_BYTES = 1 << 20
 
 
 def rule_lines(text_df: DataFrame) -> DataFrame:
-    """(group_ord, line_ord, kind, word, cap) per non-blank line of a one-column `text` frame."""
-    groups = text_df.select(F.posexplode(F.split("text", "\n\n")).alias("g", "gtext")).where(clean_title("gtext") != "")
+    """(group_ord, line_ord, kind, word, cap) per non-blank line of a one-column `text` frame, or of a frame of its groups
+    (g, gtext)."""
+    groups = text_df.select(F.posexplode(F.split("text", "\n\n")).alias("g", "gtext")) if text_df.columns == ["text"] else text_df
+    groups = groups.where(clean_title("gtext") != "")
     lines = groups.select(
         (F.col("g") + 1).cast("int").alias("group_ord"),
         F.posexplode(F.split("gtext", "\n")).alias("line_ord", "line"),
@@ -74,14 +77,24 @@ def parse_rules(text_df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rules, filters
 
 
-def load_rules(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
+def is_large(text: str | None) -> bool:
+    """Too large to broadcast and to test rule by rule: match.matched(..., indexed=True)."""
+    return len((text or "").encode()) > MAX_RULE_BYTES
+
+
+def load_rules(spark: SparkSession, text: str, indexed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rule text -> rules and exclude words (see effective_rules() for an empty one).
 
-    Rules are joined by substring tests, so they are broadcast: the text's size is checked here."""
+    Without `indexed` the rules are joined by substring tests and broadcast, so the text's size is checked here. A large
+    text is split into its groups on the driver (it came from there) and parsed by Spark, group by group."""
     text = text or ""
-    if len(text.encode()) > MAX_RULE_BYTES:
-        raise ValueError(f"rule text of more than {MAX_RULE_BYTES} bytes")
-    return parse_rules(spark.createDataFrame([(text,)], "text string"))
+    if not indexed:
+        if is_large(text):
+            raise ValueError(f"rule text of more than {MAX_RULE_BYTES} bytes: match it with indexed=True")
+        return parse_rules(spark.createDataFrame([(text,)], "text string"))
+    groups = [(i, g) for i, g in enumerate(text.split("\n\n"))]
+    rules, filters = parse_rules(spark.createDataFrame(groups, "g int, gtext string"))
+    return written(rules), written(filters)
 
 
 def effective_rules(text: str | None) -> str:
