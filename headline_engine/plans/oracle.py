@@ -647,3 +647,23 @@ SELECT day, sum(coalesce(total_tokens, 0))::BIGINT AS total_tokens, count(*) AS
 
 SQL["stream_text_report"] = SQL["text_report"]
 SQL["stream_keyed_novelty"] = SQL["stream_novelty"]
+SQL["translate_cached"] = SQL["translate_lookup"]
+SQL["report_page"] = RC + f"""
+SELECT l.report_day, c.crawl_id, group_key, rank_in_group::BIGINT AS rank_in_group, {esc('source')} AS source_html, first_rank::BIGINT AS first_rank,
+       CASE WHEN first_rank <= 3 THEN 'top' WHEN first_rank <= 10 THEN 'high' ELSE '' END AS rank_badge,
+       {esc('title')} AS title_html, {esc("''")} AS url_html
+FROM cnew c JOIN (SELECT report_day, arg_max(crawl_id, crawl_ts) AS crawl_id FROM totals GROUP BY report_day) l ON l.crawl_id = c.crawl_id"""
+
+
+def _kept(log: str, source: str, ts: str, days: int) -> str:
+    """Rows and UTC+8 days of a table that are kept 12 hours after its newest row."""
+    return f"""SELECT '{log}' AS log, count(*) AS kept_rows, count(DISTINCT strftime({local('t')}, '%Y%m%d')) AS kept_days
+FROM (SELECT t, max(t) OVER () AS last FROM (SELECT {ts} AS t FROM {source})) WHERE t > last + INTERVAL 12 HOUR - INTERVAL {days} DAY"""
+
+
+SQL["retention_stored"] = with_ctes(BASE, RULES, MATCH, TOTALS, NOVELTY_CAPPED, TL, CALSQL,
+                                    "lines AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark)") + "\nUNION ALL\n".join([
+    _kept("reports", "capped", "crawl_ts", 7), _kept("push_log", "pl", "push_ts", 7),
+    _kept("history", "(SELECT DISTINCT crawl_id, crawl_ts, title FROM capped)", "crawl_ts", 30), _kept("token_log", "tl", "ts", 30),
+    _kept("translations", "lines WHERE trim(line) <> ''", "TIMESTAMP '2024-01-01' - item_id * INTERVAL 1 HOUR", 30),
+    _kept("calendar", "cal", "day::TIMESTAMP", 1)])

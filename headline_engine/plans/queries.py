@@ -503,6 +503,72 @@ def q_retention(spark, sf_dir):
     return a.unionByName(b).select("log", "kept_rows")
 
 
+def _stored(spark, sf_dir):
+    """The six expiring tables of the service as day tables, filled from the driver tables: (store, {table: schema})."""
+    from headline_engine.sources import tables
+    from headline_engine.sources.daytables import Change, DayTables
+    from headline_engine.streaming.stream import scratch_dir
+
+    store = DayTables(spark, scratch_dir(spark, "stored"))
+    items = capped(spark, sf_dir).withColumn("crawl_ts", F.col("crawl_ts").cast("timestamp"))
+    rep = items.select("crawl_id", "crawl_ts", "group_key", "rank_in_group", "title").withColumn("report_day", day_key("crawl_ts", CFG.local_tz))
+    log = lambda name, rows, ts: tables.append_change(name, rows, ts, "all", CFG)
+    changes = [
+        Change("reports", rep, tables.days_of(rep, "report_day"), by="report_day", sort=["crawl_id", "group_key", "rank_in_group"]),
+        tables.history_change(items, items.select("crawl_id", "crawl_ts").distinct(), cfg=CFG),
+        log("push_log", A.events_push_log(spark, sf_dir).select("push_ts", "report_type"), "push_ts"),
+        log("token_log", _token_log(spark, sf_dir).select("ts", "module", "model", "total_tokens"), "ts"),
+        log("translations", A.benchmark_translations(spark, sf_dir), "written_ts"),
+        log("calendar", A.calendar(spark, DRIVER_CALENDAR).select(F.col("day").cast("timestamp").alias("day_ts"), "status"), "day_ts"),
+    ]
+    store.commit(changes)
+    return store, {c.table: c.rows.drop(c.by).schema for c in changes}
+
+
+def q_retention_stored(spark, sf_dir):
+    """S12 on six stored tables: what each keeps half a day after its newest row (whole days dropped, the border day filtered)."""
+    from headline_engine.sources import tables
+
+    store, types = _stored(spark, sf_dir)
+    out = None
+    for table, (ts, _, by) in tables.EXPIRING.items():
+        last = store.read(table, types[table], by=by).agg(F.max(ts)).first()[0]
+        if last is not None:
+            tables.expire_stored(store, F.lit(last).cast("timestamp") + F.expr("INTERVAL 12 HOURS"), types, CFG, only=(table,))
+        n = store.read(table, types[table], by=by).agg(F.count(F.lit(1)).alias("kept_rows"), F.count_distinct(by).alias("kept_days")).withColumn("log", F.lit(table))
+        out = n if out is None else out.unionByName(n)
+    return out.select("log", "kept_rows", "kept_days")
+
+
+def q_report_page(spark, sf_dir):
+    """The page rows of every stored day (the last crawl of the day), read back from the stored report."""
+    from headline_engine import schemas
+    from headline_engine.sources import tables
+    from headline_engine.sources.daytables import DayTables
+    from headline_engine.streaming.stream import scratch_dir
+
+    out = scratch_dir(spark, "pages")
+    items = capped(spark, sf_dir)
+    tables.write_report(items, f"{out}/reports", CFG, written(totals_of(spark, sf_dir)))
+    stored = DayTables(spark, out).read("reports", schemas.REPORT, by="report_day")
+    v = report.report_view(stored, extra=("report_day",))
+    return v.select("report_day", "crawl_id", "group_key", F.col("rank_in_group").cast("bigint").alias("rank_in_group"),
+                    "source_html", F.col("first_rank").cast("bigint").alias("first_rank"), "rank_badge", "title_html", "url_html")
+
+
+def q_translate_cached(spark, sf_dir):
+    """The lookup against the bucketed cache (the cache side is not shuffled)."""
+    from headline_engine.sources.translations import TranslationCache
+    from headline_engine.streaming.stream import scratch_dir
+
+    c = headlines(spark, sf_dir).select("crawl_id", "crawl_ts", "platform_id", "title")
+    cache = TranslationCache(spark, scratch_dir(spark, "translations"), buckets=8)
+    cache.append(A.benchmark_translations(spark, sf_dir))
+    cache.compact(F.timestamp_seconds(F.lit(A.CRAWL_EPOCH_SECONDS)), CFG)
+    t = language.translate(c, cache.read(), CFG)
+    return t.select("crawl_id", "platform_id", "title", "hit", "display_title")
+
+
 # ---------------------------------------------------------------- step 7: text out
 
 def q_strip_markdown(spark, sf_dir):
@@ -643,6 +709,9 @@ QUERIES = {
     "push_daily": q_push_daily,
     "schedule_gate": q_schedule_gate,
     "retention": q_retention,
+    "retention_stored": q_retention_stored,
+    "report_page": q_report_page,
+    "translate_cached": q_translate_cached,
     "strip_markdown": q_strip_markdown,
     "pack_messages": q_pack_messages,
     "channel_messages": q_channel_messages,
