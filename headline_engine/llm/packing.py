@@ -30,6 +30,7 @@ from headline_engine.llm.common import (
     keyed,
     mix64,
     real_id,
+    tidy,
 )
 from headline_engine.llm.tokens import END_ID, encoder, tokenizer_path
 
@@ -203,7 +204,7 @@ def deal(documents: DataFrame, path: str, shard_rows: int) -> tuple[DataFrame, C
                 at = np.flatnonzero(x)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(x[at])], ["at", "n"])
 
-    coded = durable(keyed(documents).mapInArrow(encode, _CODED))
+    coded = durable(keyed(documents).mapInArrow(tidy(encode), _CODED))
     rows = coded.where("df is not null").select("df").mapInArrow(counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(max([1 << 16, *(r["at"] for r in rows)]) + 2, np.int64)  # the vocabulary's size, not the table's
     for r in rows:
@@ -225,7 +226,7 @@ def deal(documents: DataFrame, path: str, shard_rows: int) -> tuple[DataFrame, C
 
     bounds = np.zeros(1, np.int64)
     if corpus.n > shard_rows:
-        shards = contiguous_shards(durable(coded.mapInArrow(key_rows, "key long")), "key", shard_rows, 256)
+        shards = contiguous_shards(durable(coded.mapInArrow(tidy(key_rows), "key long")), "key", shard_rows, 256)
         bounds = np.array([shards.first[i] for i in sorted(shards.first)], np.int64)
 
     def placed(batches):
@@ -233,7 +234,7 @@ def deal(documents: DataFrame, path: str, shard_rows: int) -> tuple[DataFrame, C
             shard = np.maximum(np.searchsorted(bounds, key, "right") - 1, 0)
             yield pa.RecordBatch.from_arrays([pa.array(shard), *part.columns], ["shard", "_id", "_th", "wide", "ids"])
 
-    return coded.mapInArrow(placed, _DEALT), corpus
+    return coded.mapInArrow(tidy(placed), _DEALT), corpus
 
 
 def pack(documents: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard_rows: int = SHARD_ROWS) -> DataFrame:

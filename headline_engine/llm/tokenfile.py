@@ -31,6 +31,7 @@ from headline_engine.llm.common import (
     open_fs,
     parallelism,
     real_id,
+    tidy,
 )
 from headline_engine.llm.tokens import END_ID, encoder, tokenizer_path
 
@@ -219,7 +220,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str | None = None, shard
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], ["shard", "part", "file", "docs", "ids"])
 
-    rows.mapInArrow(run, "shard int, part int, file string, docs long, ids long").write.parquet(f"{folder}/_manifest")
+    rows.mapInArrow(tidy(run), "shard int, part int, file string, docs long, ids long").write.parquet(f"{folder}/_manifest")
     return spark.read.parquet(f"{folder}/_manifest")
 
 

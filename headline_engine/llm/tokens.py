@@ -3,8 +3,10 @@
 Both tokenizers split a text into pieces before they merge, and always start a new piece at a space that follows a
 character other than white space. So a text may be cut there, each piece be encoded once by the tokenizers library, and
 the ids be joined; the ids equal those of the whole text. Texts in which a cut would be unsafe (runs of white space,
-white space before a space) take finer pieces or go to the tokenizer whole. Each worker keeps the ids of the first
-CACHE distinct pieces it meets (memory bound); later pieces are encoded anew.
+white space before a space) take finer pieces or go to the tokenizer whole. Each worker caches the ids of pieces, of runs
+of letters and of other short runs apart, each in two generations: when the young one is full it becomes the old one, and
+what is asked for again moves to the young one. So pieces that stay in use stay cached, whenever they first came, and
+memory is bounded.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from collections.abc import Callable
 
 from headline_engine.llm.common import process_latest
 
-#: Distinct pieces that a worker keeps.
-CACHE = 350_000
+#: Distinct pieces in each of a cache's two generations.
+CACHE = 100_000
 END_ID = 1
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -33,6 +35,28 @@ def _byte_chars() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+class _Cache:
+    """A mapping of at most twice `room` entries that forgets what has not been asked for longest."""
+
+    def __init__(self, room: int) -> None:
+        self.room = room
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.room:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Encoder:
     """ids(text) as little-endian unsigned 32-bit bytes, equal to Tokenizer.encode(text, add_special_tokens=False)."""
 
@@ -46,10 +70,8 @@ class Encoder:
         #: This kind drops white space and lower-cases; the other keeps the space with the word that follows.
         self.drops_space = spec.get("normalizer") is not None
         self.chars = _byte_chars()
-        #: Ids of pieces between spaces (with the space before them), and of bare pieces.
-        self.cache: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.room = cache
+        #: Ids of pieces between spaces (with the space before them), of their runs of letters, and of other runs.
+        self.cache, self.letters, self.bare = _Cache(cache), _Cache(cache // 2), _Cache(cache // 4)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -61,19 +83,18 @@ class Encoder:
 
     def _sub(self, letters: str) -> bytes:
         """Ids of a piece of letters, with the space before it where the tokenizer keeps it."""
-        got = self.cache.get(letters)
+        got = self.letters.get(letters)
         if got is None:
             got = self._merged(letters if self.drops_space else " " + letters)
-            if len(self.cache) < self.room:
-                self.cache[letters] = got
+            self.letters.put(letters, got)
         return got
 
     def _run(self, piece: str) -> bytes:
         got = self.bare.get(piece)
         if got is None:
             got = self._whole(piece)
-            if len(self.bare) < self.room:
-                self.bare[piece] = got
+            if len(piece) <= 256:
+                self.bare.put(piece, got)
         return got
 
     def _piece(self, piece: str) -> bytes | None:
@@ -102,16 +123,19 @@ class Encoder:
                 return self._careful(text)
             first = self._whole(head)
             pieces = pieces[1:]
-        cache, room = self.cache, self.room
+        young = self.cache.young
         out = []
         for p in pieces:
-            got = cache.get(p)
+            got = young.get(p)
             if got is None:
-                got = self._piece(p)
+                got = self.cache.get(p)
                 if got is None:
-                    return self._careful(text)
-                if len(cache) < room:
-                    cache[p] = got
+                    got = self._piece(p)
+                    if got is None:
+                        return self._careful(text)
+                    if len(p) <= 256:
+                        self.cache.put(p, got)
+                young = self.cache.young
             out.append(got)
         return first + b"".join(out)
 
