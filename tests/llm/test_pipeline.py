@@ -71,3 +71,26 @@ def test_stages_pass_an_empty_table(spark, none):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
         assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_own_columns_pass_and_unlearned_texts_go(spark):
+    """Columns named like those that operators add are untouched; another script and random letters are in no learned language."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from headline_engine.llm import pipeline
+
+    rnd = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150)
+    own = {"score": F.lit(99.0), "lang_pred": F.lit("mine"), "bits_per_byte": F.lit("b"), "n_lines": F.lit(777), "n_removed": F.lit(-1)}
+    odd = ["".join(rnd.choice("qxzjkwv") for _ in range(600)), "привет как дела сегодня хорошая погода " * 20, "今日は天気がとても良いですね" * 30]
+    extra = spark.createDataFrame([(10_000 + i, t, None, "s", len(t)) for i, t in enumerate(odd)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(extra).withColumns(own)
+    kept = pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert max(r["doc_id"] for r in rows) < 10_000 and len(rows) >= 140
+    out = pipeline.lines(spark, kept, "")
+    assert out.columns == docs.columns
+    assert {tuple(r[c] for c in own) for r in out.collect()} == {(99.0, "mine", "b", 777, -1)}
