@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from headline_engine.llm.common import (
+    chunks,
     contiguous_shards,
     keyed,
     open_fs,
@@ -33,7 +34,8 @@ from headline_engine.llm.common import (
     real_id,
     tidy,
 )
-from headline_engine.llm.tokens import END_ID, encoder, tokenizer_path
+from headline_engine.llm.tokenids import ids_batch
+from headline_engine.llm.tokens import END_ID, tokenizer_path
 
 BLOCK = 1024
 ROLL_IDS = 16 << 20
@@ -195,7 +197,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str | None = None, shard
     rows = docs.select(shards.column.alias("shard"), "_id", "text").repartition(parts, "shard").sortWithinPartitions("shard", "_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = encoder(path), np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], "<u4").tobytes()
         shard, part, out = None, 0, _File()
         made: list[tuple] = []
 
@@ -207,12 +209,12 @@ def write(documents: DataFrame, folder: str, tokenizer: str | None = None, shard
                 out.write(folder, name)
                 part, out = part + 1, _File()
 
-        for batch in batches:
-            for s, i, text in zip(batch.column("shard").to_pylist(), batch.column("_id").to_pylist(), batch.column("text")):
+        for piece in (p for batch in batches for p in chunks(batch, "text")):
+            for s, i, ids in zip(piece.column("shard").to_pylist(), piece.column("_id").to_pylist(), ids_batch(piece.column("text"), path)):
                 if s != shard:
                     close()
                     shard, part = s, 0
-                out.add(i, ids(text.as_py() or "") + end)
+                out.add(i, ids + end)
                 if out.ids >= roll_ids:
                     close()
         close()
