@@ -32,7 +32,8 @@ from headline_engine.llm.common import (
     real_id,
     tidy,
 )
-from headline_engine.llm.tokens import END_ID, encoder, tokenizer_path
+from headline_engine.llm.tokenids import ids_batch
+from headline_engine.llm.tokens import END_ID, tokenizer_path
 
 WINDOW = 2048
 SHARD_ROWS = 1500
@@ -176,12 +177,11 @@ def deal(documents: DataFrame, path: str, shard_rows: int) -> tuple[DataFrame, C
     """(shard, _id, _th, wide, ids), one row per document, and the corpus. ids: 16 bits each where they fit (not wide)."""
 
     def encode(batches):
-        ids = encoder(path)
         end = np.array([END_ID], "<u4").tobytes()
         df, n, tokens = np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
             for part in chunks(batch, "text"):
-                docs = [np.frombuffer(ids(t or "") + end, "<u4") for t in part.column("text").to_pylist()]
+                docs = [np.frombuffer(x + end, "<u4") for x in ids_batch(part.column("text"), path)]
                 seen = np.bincount(distinct_terms(docs)[1])
                 if len(seen) > len(df):
                     df = np.append(df, np.zeros(len(seen) - len(df), np.int64))

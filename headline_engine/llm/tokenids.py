@@ -1,34 +1,93 @@
 """Token ids of whole columns: each distinct pre-token of a chunk of texts is looked up once, and the texts' ids are
 gathered with array operations.
 
-Cutting and hashing are those of tokencounts; a worker's cache (two generations, so what stays in use stays) maps
-pre-tokens to ids. Texts under vocabularies with other rules are encoded by tokens.Encoder, text by text.
+A worker's cache (two generations, so what stays in use stays) maps pre-tokens to ids. Two kinds of vocabulary are cut
+here: the kind that tokencounts cuts, and the byte-level kind whose pre-tokens take the space before them (spaced()). Texts
+in which that second cut would be unsafe, and texts under vocabularies with other rules, are encoded by tokens.Encoder.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from headline_engine.llm.common import CHUNK_BYTES, process_latest, text_buffer
-from headline_engine.llm.tokencounts import Lengths, _distinct, _hashed, _parts, pretokens
+from headline_engine.llm.common import CHUNK_BYTES, Words, process_latest, text_buffer
+from headline_engine.llm.tokencounts import _BLANK, _CLASS, _LETTER, _ODD, _UNIT, Lengths, _distinct, _hashed, _parts, pretokens
 from headline_engine.llm.tokens import Encoder, _byte_chars, _Cache
 
 #: Pre-tokens in each generation of a worker's cache.
-CACHE = 200_000
-#: Pre-tokens of lower-case ASCII and Latin-1 letters: the vocabulary merges them as they are.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+CACHE = 150_000
+_LINE = 9
+#: Pre-tokens of ASCII and Latin-1 letters (lower-case in the first kind): the vocabulary merges them as they are.
+_PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Bytes of white space other than the space and the line feed, and of control characters that some rules take for it.
+_STRANGE = np.zeros(256, bool)
+_STRANGE[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+
+
+def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+    """(pre-tokens, texts cut safely) under the byte-level rules: a run of letters, of digits or of marks with the space
+    before it, or a line feed. Safe are texts whose white space is single spaces and line feeds inside the text; a run
+    between them that holds anything but ASCII and Latin-1 letters is one unit. Unsafe texts get no pre-tokens."""
+    n, texts = len(data), len(offsets) - 1
+    if not n:
+        return Words(data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(texts + 1, np.int64)), np.ones(texts, bool)
+    blank = (data == 0x20) | (data == 0x0A)
+    edge = np.zeros(n + 1, bool)  # a text begins or ends before this byte
+    edge[offsets] = True
+    wrong = _STRANGE[data]
+    wrong[1:] |= blank[1:] & blank[:-1] & ~edge[1:-1]
+    wrong |= blank & (edge[:-1] | edge[1:])
+    b1, b2 = np.append(data[1:], 0), np.append(data[2:], [0, 0])[: n]
+    wrong |= (data == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0)) | (data == 0xE1) & (b1 == 0x9A) & (b2 == 0x80) | (data == 0xE3) & (b1 == 0x80) & (b2 == 0x80)
+    wrong |= (data == 0xE2) & ((b1 == 0x80) & ((b2 <= 0x8A) | (b2 >= 0xA8) & (b2 <= 0xAF)) | (b1 == 0x81) & (b2 == 0x9F))
+    bad = np.concatenate([np.zeros(1, np.int64), np.cumsum(wrong)])
+    safe = bad[offsets[1:]] == bad[offsets[:-1]]
+    k = np.zeros(n + 2, np.uint8)
+    own = k[1:-1]
+    own[:] = _CLASS[data]
+    own[data == 0x0A] = _LINE
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    tail = data[lead + 1]
+    lead = lead[(tail >= 0x80) & (tail <= 0xBF) & (tail != 0x97) & (tail != 0xB7)]
+    own[lead] = own[lead + 1] = _LETTER
+    solid = ~blank
+    first = np.flatnonzero(solid & (np.append(True, ~solid[:-1]) | edge[:-1]))
+    last = np.flatnonzero(solid & (np.append(~solid[1:], True) | edge[1:])) + 1
+    odd = np.concatenate([np.zeros(1, np.int64), np.cumsum(own == _ODD)])
+    whole = odd[last] > odd[first]
+    step = np.zeros(n + 1, np.int8)
+    step[first[whole]] += 1
+    step[last[whole]] -= 1
+    own[np.cumsum(step[:-1]) > 0] = _UNIT
+    begins = (own != _BLANK) & ((own != k[:-2]) | (own == _LINE) | edge[:-1])
+    ends = (own != _BLANK) & ((own != k[2:]) | (own == _LINE) | edge[1:])
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    keep = np.repeat(safe, np.diff(np.searchsorted(start, offsets)))
+    start, end = start[keep], end[keep]
+    doc = np.searchsorted(start, offsets)
+    takes = (start > 0) & (data[start - 1] == 0x20) & ~edge[start] & (data[start] != 0x0A)
+    return Words(data, start - takes, end, doc), safe
 
 
 class PieceIds:
     def __init__(self, path: str, cache: int = CACHE) -> None:
-        self.cuts = Lengths(path).cuts
+        self.cuts, self.spaced = Lengths(path).cuts, False
         if not self.cuts:
-            self.slow = Encoder(path)
-            return
+            self.slow = Encoder(path, cache // 8)
+            if path.endswith(".json"):
+                with open(path, encoding="utf-8") as f:
+                    spec = json.load(f)
+                pre, specials = spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
+                self.spaced = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+                               and all("<" in x["content"] and not (x["single_word"] or x["lstrip"] or x["rstrip"]) for x in specials))
+            if not self.spaced:
+                return
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -57,19 +116,37 @@ class PieceIds:
         return out
 
 
+def _groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Whole texts together up to about `limit` bytes: (first text, bytes before, offsets)."""
+    i = 0
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        yield i, int(offsets[i]), offsets[i : j + 1] - offsets[i]
+        i = j
+
+
 def ids_batch(texts: pa.Array, path: str, limit: int = CHUNK_BYTES) -> list[bytes]:
     """Ids of every text (little-endian unsigned 32-bit), equal to Tokenizer.encode(text, add_special_tokens=False)."""
     enc = process_latest("large", "piece_ids_" + path, lambda: PieceIds(path))
-    if not enc.cuts:
+    if not enc.cuts and not enc.spaced:
         return [enc.slow.ids(t.as_py() or "") for t in texts]
     data, offsets = text_buffer(texts)
     out: list[list[bytes]] = [[] for _ in range(len(texts))]
-    for i, at, off in _parts(data, offsets, limit):
+    # The second kind takes a text in one piece: its cuts depend on what comes before a space.
+    for i, at, off in _parts(data, offsets, limit) if enc.cuts else _groups(offsets, limit):
         part = data[at : at + int(off[-1])]
-        if len(off) == 2 and len(part) > 4 * limit:  # a run without white space
+        if enc.cuts and len(off) == 2 and len(part) > 4 * limit:  # a run without white space
             out[i].append(enc.whole(part.tobytes()))
             continue
-        w = pretokens(part, off)
+        if not enc.cuts and len(off) == 2 and len(part) > 8 * limit:  # hashing takes 40 bytes a byte
+            out[i].append(enc.slow.ids(part.tobytes().decode()))
+            continue
+        if enc.cuts:
+            w = pretokens(part, off)
+        else:
+            w, safe = spaced(part, off)
+            for j in np.flatnonzero(~safe):
+                out[i + j].append(enc.slow.ids(part[off[j] : off[j + 1]].tobytes().decode()))
         if not len(w.start):
             continue
         first, group = _distinct(*_hashed(w))
@@ -81,6 +158,6 @@ def ids_batch(texts: pa.Array, path: str, limit: int = CHUNK_BYTES) -> list[byte
         total = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
         ids = np.frombuffer(b"".join(pool), "<u4")[np.arange(total[-1]) + np.repeat(base[group] - total[:-1], n)]
         cut = total[w.doc]
-        for j in range(len(off) - 1):
+        for j in np.flatnonzero(np.diff(w.doc)):
             out[i + j].append(ids[cut[j] : cut[j + 1]].tobytes())
     return [x[0] if len(x) == 1 else b"".join(x) for x in out]

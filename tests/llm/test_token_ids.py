@@ -15,7 +15,11 @@ from headline_engine.llm import tokenids, tokens
 def test_ids_equal_the_library(name):
     path = tokens.tokenizer_path(name)
     texts = odd_texts(3000) + ["it's <|endoftext|> here", "ÀÉÎ õü ß÷× naïve CAFÉ", "word " * 9000]
-    random.Random(1).shuffle(texts)
+    texts += ["One two, three.\nFour 55 six_7\n“Quoted” it's — fine", " lead", "trail ", "a\n\nb", "a \nb", "x\u00a0 y", "tab\there", "\u3000", "a <|endoftext|>b 'sup", "é3à", "1234 a"]
+    rnd = random.Random(1)
+    some = ["The", "été", "a.b", "12", "3x", "“q”", "it's", "—", "naïve,", "漢字", "<|", "<|endoftext|>", "_", "$5", "ﬁ", "½"]
+    texts += ["".join(rnd.choice(some) + rnd.choice([" ", " ", "\n", " "]) for _ in range(rnd.randrange(1, 30))) + "end" for _ in range(3000)]
+    rnd.shuffle(texts)
     want = [x.ids for x in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
     for limit in (1 << 12, 1 << 20):
         got = tokenids.ids_batch(pa.array(texts), path, limit)
