@@ -63,6 +63,7 @@ DEFAULT_RULES = "ai\nmodel\n@15\n\nmarket\nbank\n\nclimate\nenergy\n\n+space\nla
 @dataclass(frozen=True)
 class EngineConfig:
     mode: str = DEFAULT_MODE
+    platforms: tuple = ()  # registry: (platform id, display name or None), in display order
     sort_by_weight_first: bool = False
     default_cap: int = DEFAULT_CAP
     rank_weight: float = RANK_WEIGHT
