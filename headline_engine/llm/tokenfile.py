@@ -39,6 +39,8 @@ from headline_engine.llm.tokens import END_ID, tokenizer_path
 
 BLOCK = 1024
 ROLL_IDS = 16 << 20
+#: Pre-tokens in each of the two generations of a worker's cache (a vocabulary of real words has some 10^5).
+CACHE = 300_000
 _MAGIC = b"S8BTOK01"
 #: (ids, bits) by selector: fixed values of the coding.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -210,7 +212,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str | None = None, shard
                 part, out = part + 1, _File()
 
         for piece in (p for batch in batches for p in chunks(batch, "text")):
-            for s, i, ids in zip(piece.column("shard").to_pylist(), piece.column("_id").to_pylist(), ids_batch(piece.column("text"), path)):
+            for s, i, ids in zip(piece.column("shard").to_pylist(), piece.column("_id").to_pylist(), ids_batch(piece.column("text"), path, cache=CACHE)):
                 if s != shard:
                     close()
                     shard, part = s, 0

@@ -125,9 +125,10 @@ def _groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int, np.ndar
         i = j
 
 
-def ids_batch(texts: pa.Array, path: str, limit: int = CHUNK_BYTES) -> list[bytes]:
-    """Ids of every text (little-endian unsigned 32-bit), equal to Tokenizer.encode(text, add_special_tokens=False)."""
-    enc = process_latest("large", "piece_ids_" + path, lambda: PieceIds(path))
+def ids_batch(texts: pa.Array, path: str, limit: int = CHUNK_BYTES, cache: int = CACHE) -> list[bytes]:
+    """Ids of every text (little-endian unsigned 32-bit), equal to Tokenizer.encode(text, add_special_tokens=False). `cache`:
+    pre-tokens in each generation of the worker's cache (about 200 bytes each)."""
+    enc = process_latest("large", f"piece_ids_{cache}_{path}", lambda: PieceIds(path, cache))
     if not enc.cuts and not enc.spaced:
         return [enc.slow.ids(t.as_py() or "") for t in texts]
     data, offsets = text_buffer(texts)
