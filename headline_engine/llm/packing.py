@@ -49,6 +49,11 @@ def _ids(raw: bytes, wide: bool) -> np.ndarray:
     return np.frombuffer(raw, "<u4" if wide else "<u2")
 
 
+def _by(x: np.ndarray) -> np.ndarray:
+    """Stable order of small non-negative integers (16 bits are sorted by digits)."""
+    return np.argsort(x.astype(np.uint16) if not len(x) or x.max() < 1 << 16 else x, kind="stable")
+
+
 def distinct_terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, count) of every distinct term of each document, in this order."""
     key = np.sort((np.repeat(np.arange(len(docs), dtype=np.uint64), [len(d) for d in docs]) << np.uint64(32)) | np.concatenate(docs).astype(np.uint64))
@@ -60,11 +65,12 @@ class Corpus:
     """Number of documents, their mean length, and document frequencies by token id."""
 
     def __init__(self, n: int, tokens: int, df: np.ndarray) -> None:
-        self.n, self.mean, self.df = n, tokens / max(1, n), df
+        self.n, self.mean, self.df, self._idf = n, tokens / max(1, n), df, None
 
     def weights(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
-        idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
-        return idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - LENGTH_B + LENGTH_B * length[doc] / self.mean))
+        if self._idf is None:
+            self._idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+        return self._idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - LENGTH_B + LENGTH_B * length[doc] / self.mean))
 
 
 def lexical_keys(docs: list[np.ndarray], salt: np.ndarray, corpus: Corpus, shard_rows: int) -> np.ndarray:
@@ -94,11 +100,12 @@ class Index:
         n = self.n = len(docs)
         length = np.array([len(d) for d in docs], np.float64)
         doc, term, tf = distinct_terms(docs)
-        by_term = np.argsort(term, kind="stable")
-        self.terms, at, df = np.unique(term[by_term], return_index=True, return_counts=True)
-        self.at = np.append(at, len(term))
+        by_term = _by(term)
+        self.at = np.append(np.flatnonzero(np.diff(term[by_term], prepend=-1)), len(term))
+        self.terms, df = term[by_term[self.at[:-1]]], np.diff(self.at)
         self.doc = doc[by_term]
-        which = np.searchsorted(self.terms, term)
+        which = np.empty(len(term), np.int64)
+        which[by_term] = np.repeat(np.arange(len(df)), df)
         if corpus is None:
             weight = Corpus(n, int(length.sum()), df).weights(doc, which, tf, length)
         else:
@@ -106,7 +113,8 @@ class Index:
         self.weight = weight[by_term]
         # Query of a document: its strongest terms that another document has too.
         useful = np.flatnonzero(df[which] > 1)
-        order = useful[np.lexsort((which[useful], -weight[useful], doc[useful]))]
+        order = useful[np.argsort(-weight[useful], kind="stable")]  # equal weights: the smaller term first, as they lie
+        order = order[_by(doc[order])]
         first = np.searchsorted(doc[order], np.arange(n + 1))
         self.query = [which[order[first[i] : min(first[i + 1], first[i] + QUERY_TERMS)]] for i in range(n)]
 

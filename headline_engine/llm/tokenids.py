@@ -1,7 +1,8 @@
 """Token ids of whole columns: each distinct pre-token of a chunk of texts is looked up once, and the texts' ids are
 gathered with array operations.
 
-A worker's cache (two generations, so what stays in use stays) maps pre-tokens to ids. Two kinds of vocabulary are cut
+A worker's pool maps the pre-tokens' 128-bit hashes to ids in sorted arrays, so a chunk's known pre-tokens are found by one
+binary search of arrays and only new ones are touched singly; when it is full, those not used for longest go. Two kinds of vocabulary are cut
 here: the kind that tokencounts cuts, and the byte-level kind whose pre-tokens take the space before them (spaced()). Texts
 in which that second cut would be unsafe, and texts under vocabularies with other rules, are encoded by tokens.Encoder.
 """
@@ -11,18 +12,21 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from headline_engine.llm.common import CHUNK_BYTES, Words, process_latest, text_buffer
+from headline_engine.llm.common import BASE, BASE2, CHUNK_BYTES, Words, mix64, process_latest, text_buffer
 from headline_engine.llm.tokencounts import _BLANK, _CLASS, _LETTER, _ODD, _UNIT, Lengths, _distinct, _hashed, _parts, pretokens
-from headline_engine.llm.tokens import Encoder, _byte_chars, _Cache
+from headline_engine.llm.tokens import Encoder, _byte_chars
 
-#: Pre-tokens in each generation of a worker's cache.
-CACHE = 150_000
+#: Pre-tokens that a worker's pool keeps when it is cut; it is cut at twice as many.
+CACHE = 500_000
 _LINE = 9
+#: Bytes of the longest pre-token that is hashed by words of eight bytes; masks of a word's first bytes.
+LONG = 256
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 #: Pre-tokens of ASCII and Latin-1 letters (lower-case in the first kind): the vocabulary merges them as they are.
 _PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: Bytes of white space other than the space and the line feed, and of control characters that some rules take for it.
@@ -43,28 +47,31 @@ def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
     wrong = _STRANGE[data]
     wrong[1:] |= blank[1:] & blank[:-1] & ~edge[1:-1]
     wrong |= blank & (edge[:-1] | edge[1:])
-    b1, b2 = np.append(data[1:], 0), np.append(data[2:], [0, 0])[: n]
-    wrong |= (data == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0)) | (data == 0xE1) & (b1 == 0x9A) & (b2 == 0x80) | (data == 0xE3) & (b1 == 0x80) & (b2 == 0x80)
-    wrong |= (data == 0xE2) & ((b1 == 0x80) & ((b2 <= 0x8A) | (b2 >= 0xA8) & (b2 <= 0xAF)) | (b1 == 0x81) & (b2 == 0x9F))
-    bad = np.concatenate([np.zeros(1, np.int64), np.cumsum(wrong)])
-    safe = bad[offsets[1:]] == bad[offsets[:-1]]
+    at = np.flatnonzero(data >= 0xC2)  # first bytes of longer characters
+    lead = at[data[at] == 0xC3]
+    at = at[(data[at] <= 0xC2) | (data[at] >= 0xE1) & (data[at] <= 0xE3)]
+    b0, b1, b2 = data[at], data[np.minimum(at + 1, n - 1)], data[np.minimum(at + 2, n - 1)]
+    space = (b0 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0)) | (b0 == 0xE1) & (b1 == 0x9A) & (b2 == 0x80) | (b0 == 0xE3) & (b1 == 0x80) & (b2 == 0x80)
+    space |= (b0 == 0xE2) & ((b1 == 0x80) & ((b2 <= 0x8A) | (b2 >= 0xA8) & (b2 <= 0xAF)) | (b1 == 0x81) & (b2 == 0x9F))
+    wrong[at[space]] = True
+    bad = np.searchsorted(np.flatnonzero(wrong), offsets)
+    safe = bad[1:] == bad[:-1]
     k = np.zeros(n + 2, np.uint8)
     own = k[1:-1]
     own[:] = _CLASS[data]
     own[data == 0x0A] = _LINE
-    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[lead < n - 1]
     tail = data[lead + 1]
     lead = lead[(tail >= 0x80) & (tail <= 0xBF) & (tail != 0x97) & (tail != 0xB7)]
     own[lead] = own[lead + 1] = _LETTER
-    solid = ~blank
-    first = np.flatnonzero(solid & (np.append(True, ~solid[:-1]) | edge[:-1]))
-    last = np.flatnonzero(solid & (np.append(~solid[1:], True) | edge[1:])) + 1
-    odd = np.concatenate([np.zeros(1, np.int64), np.cumsum(own == _ODD)])
-    whole = odd[last] > odd[first]
-    step = np.zeros(n + 1, np.int8)
-    step[first[whole]] += 1
-    step[last[whole]] -= 1
-    own[np.cumsum(step[:-1]) > 0] = _UNIT
+    odd = np.flatnonzero(own == _ODD)
+    if len(odd):  # the runs between white space that hold such bytes
+        solid = ~blank
+        first = np.flatnonzero(solid & (np.append(True, ~solid[:-1]) | edge[:-1]))
+        last = np.flatnonzero(solid & (np.append(~solid[1:], True) | edge[1:])) + 1
+        whole = np.unique(np.searchsorted(first, odd, "right") - 1)
+        size = last[whole] - first[whole]
+        own[np.arange(int(size.sum())) + np.repeat(first[whole] - (np.cumsum(size) - size), size)] = _UNIT
     begins = (own != _BLANK) & ((own != k[:-2]) | (own == _LINE) | edge[:-1])
     ends = (own != _BLANK) & ((own != k[2:]) | (own == _LINE) | edge[1:])
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
@@ -75,6 +82,75 @@ def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
     return Words(data, start - takes, end, doc), safe
 
 
+def hashed(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every pre-token, over its bytes eight at a time; _hashed() where one is longer than LONG."""
+    size = w.end - w.start
+    if not len(size) or size.max() > LONG:
+        return _hashed(w)
+    data = np.concatenate([w.data, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(w.data) + 1, "<u8", data, strides=(1,))  # the eight bytes from each place on
+    key, check = size.astype(np.uint64) * BASE, size.astype(np.uint64) * BASE2
+    left, at, rest = np.arange(len(size)), w.start, size
+    while len(left):
+        x = words[at] & _MASK[np.minimum(rest, 8)]
+        if len(left) == len(size):
+            key, check = mix64(key ^ x) * BASE2, mix64((check ^ x) * BASE + BASE2)
+        else:
+            key[left], check[left] = mix64(key[left] ^ x) * BASE2, mix64((check[left] ^ x) * BASE + BASE2)
+        on = np.flatnonzero(rest > 8)
+        left, at, rest = left[on], at[on] + 8, rest[on] - 8
+    return key, check
+
+
+class Pool:
+    """Ids of pre-tokens by their 128-bit hash: entries sorted by the first half, ids[base : base + size] of each."""
+
+    def __init__(self, room: int) -> None:
+        self.room, self.clock = room, 0
+        self.key = self.check = np.zeros(0, np.uint64)
+        self.base = self.size = self.used = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def _cut(self) -> None:
+        """Keeps the `room` entries that were used last, and their ids."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.room])
+        self.key, self.check, self.used = self.key[keep], self.check[keep], self.used[keep]
+        self.ids, self.base, self.size = gather(self.ids, self.base[keep], self.size[keep]), np.cumsum(self.size[keep]) - self.size[keep], self.size[keep]
+
+    def of(self, key: np.ndarray, check: np.ndarray, make: Callable[[int], bytes], short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, base, size) of distinct pre-tokens, keys ascending. make(i): the ids of a new one; short: may be kept."""
+        if len(self.key) > 2 * self.room or len(self.ids) > 32 * self.room:
+            self._cut()
+        self.clock += 1
+        at = np.searchsorted(self.key, key)
+        same = np.zeros(len(key), bool)
+        inside = np.flatnonzero(at < len(self.key))
+        same[inside] = self.key[at[inside]] == key[inside]
+        hit = same.copy()
+        hit[same] = self.check[at[same]] == check[same]
+        self.used[at[hit]] = self.clock
+        new = np.flatnonzero(~hit)
+        made = [make(i) for i in new]
+        base, size = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        base[hit], size[hit] = self.base[at[hit]], self.size[at[hit]]
+        size[new] = [len(x) // 4 for x in made]
+        base[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4")])
+        # Two pre-tokens may share the first half of the hash: the pool has one of them.
+        put = new[short[new] & ~same[new] & np.append(True, key[new][1:] != key[new][:-1])[: len(new)]]
+        if len(put):
+            clock = np.full(len(put), self.clock)
+            for name, x in (("key", key[put]), ("check", check[put]), ("base", base[put]), ("size", size[put]), ("used", clock)):
+                setattr(self, name, np.insert(getattr(self, name), at[put], x))
+        return self.ids, base, size
+
+
+def gather(ids: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """ids[base : base + size] of all entries, one after the other."""
+    before = np.cumsum(size) - size
+    return ids[np.arange(int(size.sum())) + np.repeat(base - before, size)]
+
+
 class PieceIds:
     def __init__(self, path: str, cache: int = CACHE) -> None:
         self.cuts, self.spaced = Lengths(path).cuts, False
@@ -94,7 +170,7 @@ class PieceIds:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.chars = _byte_chars()
-        self.cache = _Cache(cache)
+        self.pool = Pool(cache)
 
     def _new(self, piece: bytes) -> bytes:
         if _PLAIN.fullmatch(piece):
@@ -104,17 +180,6 @@ class PieceIds:
     def whole(self, raw: bytes) -> bytes:
         return array("I", self.tok.encode(raw.decode(), add_special_tokens=False).ids).tobytes()
 
-    def of(self, pieces: list[bytes]) -> list[bytes]:
-        out = []
-        for p in pieces:
-            got = self.cache.get(p)
-            if got is None:
-                got = self._new(p)
-                if len(p) <= 256:
-                    self.cache.put(p, got)
-            out.append(got)
-        return out
-
 
 def _groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """Whole texts together up to about `limit` bytes: (first text, bytes before, offsets)."""
@@ -127,7 +192,7 @@ def _groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int, np.ndar
 
 def ids_batch(texts: pa.Array, path: str, limit: int = CHUNK_BYTES, cache: int = CACHE) -> list[bytes]:
     """Ids of every text (little-endian unsigned 32-bit), equal to Tokenizer.encode(text, add_special_tokens=False). `cache`:
-    pre-tokens in each generation of the worker's cache (about 200 bytes each)."""
+    pre-tokens that the worker's pool keeps (about 60 bytes each, up to twice as many)."""
     enc = process_latest("large", f"piece_ids_{cache}_{path}", lambda: PieceIds(path, cache))
     if not enc.cuts and not enc.spaced:
         return [enc.slow.ids(t.as_py() or "") for t in texts]
@@ -150,15 +215,12 @@ def ids_batch(texts: pa.Array, path: str, limit: int = CHUNK_BYTES, cache: int =
                 out[i + j].append(enc.slow.ids(part[off[j] : off[j + 1]].tobytes().decode()))
         if not len(w.start):
             continue
-        first, group = _distinct(*_hashed(w))
-        raw = w.data.tobytes()
-        pool = enc.of([raw[w.start[m] : w.end[m]] for m in first])
-        size = np.array([len(x) // 4 for x in pool], np.int64)
-        base = np.cumsum(size) - size
-        n = size[group]
-        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
-        ids = np.frombuffer(b"".join(pool), "<u4")[np.arange(total[-1]) + np.repeat(base[group] - total[:-1], n)]
-        cut = total[w.doc]
+        key, check = hashed(w)
+        first, group = _distinct(key, check)
+        raw, start, end = w.data.tobytes(), w.start[first], w.end[first]
+        pool, base, size = enc.pool.of(key[first], check[first], lambda m: enc._new(raw[start[m] : end[m]]), end - start <= 256)
+        ids = gather(pool, base[group], size[group])
+        cut = np.concatenate([np.zeros(1, np.int64), np.cumsum(size[group])])[w.doc]
         for j in np.flatnonzero(np.diff(w.doc)):
             out[i + j].append(ids[cut[j] : cut[j + 1]].tobytes())
     return [x[0] if len(x) == 1 else b"".join(x) for x in out]
