@@ -22,7 +22,7 @@ from headline_engine.llm.tokencounts import _BLANK, _CLASS, _LETTER, _ODD, _UNIT
 from headline_engine.llm.tokens import Encoder, _byte_chars
 
 #: Pre-tokens that a worker's pool keeps when it is cut; it is cut at twice as many.
-CACHE = 500_000
+CACHE = 300_000
 _LINE = 9
 #: Bytes of the longest pre-token that is hashed by words of eight bytes; masks of a word's first bytes.
 LONG = 256
@@ -108,14 +108,16 @@ class Pool:
     def __init__(self, room: int) -> None:
         self.room, self.clock = room, 0
         self.key = self.check = np.zeros(0, np.uint64)
-        self.base = self.size = self.used = np.zeros(0, np.int64)
+        self.base = self.size = self.used = np.zeros(0, np.int32)
         self.ids = np.zeros(0, "<u4")
 
     def _cut(self) -> None:
         """Keeps the `room` entries that were used last, and their ids."""
         keep = np.sort(np.argsort(-self.used, kind="stable")[: self.room])
         self.key, self.check, self.used = self.key[keep], self.check[keep], self.used[keep]
-        self.ids, self.base, self.size = gather(self.ids, self.base[keep], self.size[keep]), np.cumsum(self.size[keep]) - self.size[keep], self.size[keep]
+        size = self.size[keep].astype(np.int64)
+        self.ids = gather(self.ids, self.base[keep].astype(np.int64), size)
+        self.base, self.size = (np.cumsum(size) - size).astype(np.int32), self.size[keep]
 
     def of(self, key: np.ndarray, check: np.ndarray, make: Callable[[int], bytes], short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, base, size) of distinct pre-tokens, keys ascending. make(i): the ids of a new one; short: may be kept."""
@@ -155,7 +157,7 @@ class PieceIds:
     def __init__(self, path: str, cache: int = CACHE) -> None:
         self.cuts, self.spaced = Lengths(path).cuts, False
         if not self.cuts:
-            self.slow = Encoder(path, cache // 8)
+            self.slow = Encoder(path, cache // 16)
             if path.endswith(".json"):
                 with open(path, encoding="utf-8") as f:
                     spec = json.load(f)
@@ -192,7 +194,7 @@ def _groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int, np.ndar
 
 def ids_batch(texts: pa.Array, path: str, limit: int = CHUNK_BYTES, cache: int = CACHE) -> list[bytes]:
     """Ids of every text (little-endian unsigned 32-bit), equal to Tokenizer.encode(text, add_special_tokens=False). `cache`:
-    pre-tokens that the worker's pool keeps (about 60 bytes each, up to twice as many)."""
+    pre-tokens that the worker's pool keeps (about 40 bytes each, up to twice as many)."""
     enc = process_latest("large", f"piece_ids_{cache}_{path}", lambda: PieceIds(path, cache))
     if not enc.cuts and not enc.spaced:
         return [enc.slow.ids(t.as_py() or "") for t in texts]
