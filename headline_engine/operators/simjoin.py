@@ -448,7 +448,8 @@ def history_cells(items: DataFrame, history: DataFrame, cfg: EngineConfig, place
     """
     week = F.floor(F.col("us") / F.lit(cfg.history_days * 86_400_000_000)).cast("bigint")
     a = items.select("crawl_id", _micros("crawl_ts").alias("us"), "title").dropna(subset=["us", "title"]).withColumn("wk", week)
-    b = history.select(_micros("crawl_ts").alias("us"), "title", *place).dropna(subset=["us", "title"])
+    # Names of its own: items and history may come from one frame.
+    b = history.select(_micros("crawl_ts").alias("us"), *[F.col(c).alias(c) for c in ("title", *place)]).dropna(subset=["us", "title"])
     b = b.withColumn("wk", F.explode(F.array(week, week + 1)))
     sizes = [written(x.groupBy("wk").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL_ROWS)).cast("int").alias("n"))) for x in (a, b)]
     blocks = [n.select("wk", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias(uid)) for n, uid in zip(sizes, ("uid_a", "uid_b"))]

@@ -71,6 +71,14 @@ def test_near_dup_flags_of_blocks_and_equal_keys(spark, rows, monkeypatch, rows_
             assert got[i[0], i[3]] == (i[0] is not None and any(key(s[1]) == key(i[3]) for s in live(i[1], seen)))
 
 
+def test_items_and_history_of_one_frame(spark):
+    df = spark.createDataFrame([(1, T0, 0, "aa bb", 0, 1), (2, T0 + timedelta(days=1), 1, "aa bb", 0, 1)], ITEM + ", key_ord int, rank_in_group int").where("pos >= 0")
+    flags, context = review.triage(df, df.where("pos < 9"), WORD)
+    assert sorted((r["crawl_id"], r["ambiguous"]) for r in flags.collect()) == [(1, False), (2, True)]
+    assert [tuple(r) for r in context.collect()] == [(2, 0, "aa bb")]
+    assert {r["crawl_id"]: r["hist_dup"] for r in simjoin.near_dup_vs_history(df, df.limit(9), WORD).collect()} == {1: False, 2: True}
+
+
 def test_only_blocks_of_weeks_are_joined(spark, rows, monkeypatch):
     met = []
     join = simjoin.token_join
